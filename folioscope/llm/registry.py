@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, mixing, split
+from . import conversations, language, leakage, mixing, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,31 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares reached by the mixture."""
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return language.all_records(table(spark, d, "documents", "doc_id", "text", "lang"), table(spark, d, "chunks", "id", "content"), table(spark, d, "chat_history", "id", "user_message"), table(spark, d, "lang_labels"))
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records with a missing or wrong label, and mixed texts."""
+    return language.issues(_records(spark, d))
+
+
+@query
+def p3_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every record's languages with their confidence."""
+    return _records(spark, d).selectExpr("record_table", "record_id", "label", "inline(segments)")
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that contain a passage of a test item."""
+    return leakage.contained(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
+    """Aligned pairs with their scores, edited copies included."""
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items")).filter("run >= 5 and score >= 16")
