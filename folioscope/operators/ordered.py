@@ -2,7 +2,8 @@
 
 A group of more than ``limit`` rows is cut into buckets along its order; windows run inside the
 buckets and the buckets' edges, one row each, are joined afterwards.  Ordinary groups are one
-bucket.  Where there is no hot group, adaptive execution drops the edge joins.
+bucket.  Whether there is any hot group is counted first, over the key column alone; without
+one, the plain window gives the same rows from a single shuffle.
 """
 
 from __future__ import annotations
@@ -27,9 +28,18 @@ def with_bucket(df: DataFrame, key: str, position: Column, limit: int = HOT_ROWS
     return df.join(hot, key, "left").withColumn("_bucket", F.coalesce(bucket, F.lit(-1)).cast("long")).withColumn("_hot", F.col("_width").isNotNull()).drop("_at", "_lo", "_width")
 
 
-def with_neighbours(df: DataFrame, key: str, time: str, tie: str, cols: list[str], limit: int = HOT_ROWS, rows: int = BUCKET_ROWS) -> DataFrame:
+def any_hot(keys: DataFrame, key: str, limit: int = HOT_ROWS) -> bool:
+    """Whether a value of ``key`` has more than ``limit`` rows."""
+    return not keys.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).isEmpty()
+
+
+def with_neighbours(df: DataFrame, key: str, time: str, tie: str, cols: list[str], hot: bool = True, limit: int = HOT_ROWS, rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` with structs ``_prev`` and ``_next`` of ``cols`` of the rows before and after it in
-    its group by (time, tie); null at the group's ends.  Rows without time must be left out."""
+    its group by (time, tie); null at the group's ends.  Rows without time must be left out.
+    ``hot`` false promises that no group is hot (``any_hot``)."""
+    if not hot:
+        w = Window.partitionBy(key).orderBy(time, tie)
+        return df.withColumn("_row", F.struct(*cols)).withColumns({"_prev": F.lag("_row").over(w), "_next": F.lead("_row").over(w)}).drop("_row")
     b = with_bucket(df, key, F.unix_micros(F.col(time).cast("timestamp")), limit, rows).withColumn("_row", F.struct(*cols))
     w = Window.partitionBy(key, "_bucket").orderBy(time, tie)
     inner = b.withColumns({"_prev": F.lag("_row").over(w), "_next": F.lead("_row").over(w)})
@@ -44,9 +54,13 @@ def with_neighbours(df: DataFrame, key: str, time: str, tie: str, cols: list[str
     )
 
 
-def with_running_total(df: DataFrame, key: str, position: Column, order: list, value: str, name: str, limit: int = HOT_ROWS, rows: int = BUCKET_ROWS) -> DataFrame:
+def with_running_total(df: DataFrame, key: str, position: Column, order: list, value: str, name: str, hot: bool = True, limit: int = HOT_ROWS, rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` with ``name``, the sum of ``value`` over the rows before it in its group, and
     ``{name}_all``, the sum over the group."""
+    if not hot:
+        w = Window.partitionBy(key)
+        before = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumns({name: F.sum(value).over(before) - F.col(value), f"{name}_all": F.sum(value).over(w)})
     b = with_bucket(df, key, position, limit, rows)
     w = Window.partitionBy(key, "_bucket").orderBy(*order)
     inner = b.withColumn("_within", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value))
