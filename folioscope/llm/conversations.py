@@ -19,77 +19,87 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blank import is_blank
-from ..operators.ordered import HOT_ROWS, with_neighbours
+from ..operators.ordered import HOT_ROWS, any_hot, with_neighbours
+from ..session import cut, maybe_broadcast
 
 MIN_EVIDENCE = 20
 
 
-def slim(history: DataFrame) -> DataFrame:
-    """Each id once, the texts replaced by whether they say anything."""
+def slim(history: DataFrame, *more: str) -> DataFrame:
+    """Each id once, the texts replaced by whether they say anything.  Rows of one id are of one
+    session, so the sessions' shuffle is the only one."""
     return history.select(
-        "id", "session_id", "device_id", "created_at", (~is_blank(F.col("user_message"))).alias("asks"), (~is_blank(F.col("bot_response"))).alias("answers")
-    ).filter("session_id is not null").dropDuplicates(["id"])
-
-
-def _flags(rows: DataFrame, limit: int) -> DataFrame:
-    lone = lambda side, other: F.coalesce(~F.col(f"{side}.{other}"), F.lit(False))
-    n = with_neighbours(rows.filter("at is not null"), "session_id", "at", "id", ["asks", "answers", "at"], limit)
-    after_message = F.coalesce(F.col("_prev.asks") & ~F.col("_prev.answers"), F.lit(False))
-    before_reply = F.coalesce(F.col("_next.answers") & ~F.col("_next.asks"), F.lit(False))
-    before_message = F.coalesce(F.col("_next.asks"), F.lit(False)) & lone("_next", "answers")
-    return n.select(
-        "*",
-        (~F.col("asks") & F.col("answers") & ~after_message).alias("orphan"),
-        (F.col("asks") & ~F.col("answers") & ~before_reply).alias("unanswered"),
-        (F.col("asks") & ~F.col("answers") & before_reply).alias("kept"),
-        F.when(~F.col("asks") & F.col("answers") & ~after_message & before_message, (F.unix_micros(F.col("_next.at").cast("timestamp")) - F.unix_micros(F.col("at").cast("timestamp")))).alias("gap"),
-    )
-
-
-def clock_offsets(rows: DataFrame, limit: int = HOT_ROWS, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
+        "id", "session_id", "device_id", "created_at", (~is_blank(F.col("user_message"))).alias("asks"), (~is_blank(F.col("bot_response"))).alias("answers"), *more
+    ).filter("session_id is not null")
+
+
+def _flags(rows: DataFrame, hot: bool, limit: int) -> DataFrame:
+    """Every row of ``rows`` (which have ``at``) with what it breaks; rows without time break
+    nothing here."""
+    key = ["session_id", "id"]
+    rows = rows.dropDuplicates(key) if hot else rows.repartition("session_id").dropDuplicates(key)
+    n = with_neighbours(rows, "session_id", "at", "id", ["asks", "answers", "at"], hot, limit)
+    timed = lambda side: F.coalesce(F.col(f"{side}.at").isNotNull(), F.lit(False)) & F.col("at").isNotNull()
+    asks = lambda side: timed(side) & F.col(f"{side}.asks") & ~F.col(f"{side}.answers")
+    message, reply = F.col("asks") & ~F.col("answers"), F.col("answers") & ~F.col("asks")
+    before_reply = timed("_next") & F.col("_next.answers") & ~F.col("_next.asks")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return n.withColumns(
+        {
+            "orphan": reply & ~asks("_prev"),
+            "unanswered": message & ~before_reply,
+            "kept": message & before_reply,
+            "gap": F.when(reply & ~asks("_prev") & asks("_next"), micros("_next.at") - micros("at")),
+        }
+    ).drop("_prev", "_next")
+
+
+def clock_offsets(rows: DataFrame, hot: bool, limit: int = HOT_ROWS, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
     """(device_id, shift): microseconds to add to the replies of devices whose clock is off;
-    the mean gap is the least-squares shift of the broken constraints."""
-    f = _flags(rows.withColumn("at", F.col("created_at")), limit)
+    the mean gap is the least-squares shift of the broken constraints, and twice that at most
+    is given to meet them all."""
+    f = _flags(rows.withColumn("at", F.col("created_at")), hot, limit)
     return (
         f.filter("kept or gap is not null")
         .groupBy("device_id")
         .agg(F.count("gap").alias("broken"), F.count_if("kept").alias("held"), F.avg("gap").alias("mean_gap"), F.max("gap").alias("most"))
         .filter((F.col("broken") >= min_evidence) & (F.col("broken") > F.col("held")))
-        .select("device_id", F.ceil(F.greatest(F.col("mean_gap"), F.least(F.col("most"), 2 * F.col("mean_gap"))) + 1).cast("long").alias("shift"))
+        .select("device_id", F.ceil(F.least(F.col("most"), 2 * F.col("mean_gap")) + 1).cast("long").alias("shift"))
     )
 
 
-def corrected(rows: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def corrected(rows: DataFrame, hot: bool, limit: int = HOT_ROWS, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
     """``rows`` with ``at``, the corrected time."""
+    offsets = clock_offsets(rows, hot, limit, min_evidence)
+    if offsets.isEmpty():
+        return rows.withColumn("at", F.col("created_at"))
     shifted = F.timestamp_micros(F.unix_micros(F.col("created_at").cast("timestamp")) + F.col("shift")).cast("timestamp_ntz")
-    at = F.when(F.col("shift").isNotNull() & F.col("answers") & ~F.col("asks"), shifted).otherwise(F.col("created_at"))
-    return rows.join(clock_offsets(rows, limit), "device_id", "left").withColumn("at", at).drop("shift")
+    at = F.when(F.col("shift").isNotNull() & F.col("answers") & ~F.col("asks"), shifted).otherwise(F.col("created_at").cast("timestamp_ntz"))
+    return rows.join(maybe_broadcast(cut(offsets)), "device_id", "left").withColumn("at", at).drop("shift")
 
 
-def rejected(history: DataFrame, sessions: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
+def rejected(history: DataFrame, sessions: DataFrame, limit: int = HOT_ROWS, min_evidence: int = MIN_EVIDENCE) -> DataFrame:
     """(session_id, reason) of the conversations to drop."""
-    rows = corrected(slim(history), limit)
-    flags = _flags(rows, limit).groupBy("session_id").agg(F.max("orphan").alias("orphan"), F.max("unanswered").alias("unanswered"))
-    # an unordered row can't be a neighbour, so these sums need no order and no join of rows
-    sums = rows.groupBy("session_id").agg(
-        F.max(F.col("asks") | F.col("answers")).alias("speaks"), F.max(F.col("at").isNull()).alias("timeless"), F.min("device_id").alias("d0"), F.max("device_id").alias("d1")
-    )
-    known = sessions.select(F.col("id").alias("session_id"), F.lit(True).alias("known")).filter("session_id is not null").dropDuplicates(["session_id"])
-    t = known.join(sums, "session_id", "full").join(flags, "session_id", "left")
-    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
-    reason = (
-        F.when(no("speaks"), "empty")
-        .when(no("known") | F.col("timeless") | (F.col("d0") != F.col("d1")) | F.coalesce(F.col("orphan"), F.lit(False)), "broken")
-        .when(F.coalesce(F.col("unanswered"), F.lit(False)), "missing_reply")
+    hot = any_hot(history.select("session_id").filter("session_id is not null"), "session_id", limit)
+    f = _flags(corrected(slim(history), hot, limit, min_evidence), hot, limit)
+    sums = f.groupBy("session_id").agg(
+        F.max(F.col("asks") | F.col("answers")).alias("speaks"),
+        F.max(F.col("at").isNull() | F.col("orphan")).alias("broken"),
+        (F.min("device_id") != F.max("device_id")).alias("shared"),
+        F.max("unanswered").alias("unanswered"),
     )
+    known = sessions.select(F.col("id").alias("session_id")).filter("session_id is not null").distinct().withColumn("known", F.lit(True))
+    t = known.join(sums, "session_id", "full")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    reason = F.when(~yes("speaks"), "empty").when(~yes("known") | yes("broken") | yes("shared"), "broken").when(yes("unanswered"), "missing_reply")
     return t.select("session_id", reason.alias("reason")).filter("reason is not null")
 
 
 def turns(history: DataFrame, sessions: DataFrame, limit: int = HOT_ROWS) -> DataFrame:
     """(session_id, at, id, turn, role, text) of the conversations kept, ordered by
     (session_id, at, id, turn)."""
-    kept = corrected(slim(history), limit).join(rejected(history, sessions, limit), "session_id", "left_anti").select("id", "session_id", "at", "asks", "answers")
-    texts = history.select("id", "user_message", "bot_response").dropDuplicates(["id"])
-    t = kept.join(texts, "id")
+    hot = any_hot(history.select("session_id").filter("session_id is not null"), "session_id", limit)
+    rows = slim(history.withColumns({"_q": F.col("user_message"), "_a": F.col("bot_response")}), "_q", "_a")
+    t = corrected(rows, hot, limit).join(rejected(history, sessions, limit), "session_id", "left_anti").dropDuplicates(["session_id", "id"]).withColumnsRenamed({"_q": "user_message", "_a": "bot_response"})
     both = F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role"), F.when(F.col("asks"), F.col("user_message")).alias("text")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"), F.when(F.col("answers"), F.col("bot_response")).alias("text")))
     return t.select("session_id", "at", "id", F.inline(both)).filter("text is not null").orderBy("session_id", "at", "id", "turn")
