@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 
 LANGS = ("en", "zh", "es", "de", "fr")
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
-#: A whole sentence has at least so many words, or Han characters.
-MIN_WORDS, MIN_HAN = 4, 7
+#: A whole sentence has at least so many words, or Han characters: (with an end mark, without).
+MIN_WORDS, MIN_HAN = (3, 5), (5, 7)
 #: Log odds that a segment must have against the text's main language.
 MIN_ODDS = 7.0
 
@@ -56,12 +56,32 @@ NAMES = {
 UNKNOWN = "n/a na und unknown unk none null mul mis zxx xx undefined undetermined unspecified other ? - ??".split()
 
 _TOKEN = re.compile(r"[一-鿿㐀-䶿]|[^\W\d_一-鿿㐀-䶿]+(?:['’][^\W\d_]+)*")
+_STOPS = frozenset(".!?。！？")
 _HAN = re.compile(r"[一-鿿㐀-䶿]")
 _LATIN_RUN = re.compile(r"[A-Za-z'’]+[ ,]+[A-Za-z'’]+[ ,]+[A-Za-z]")
 _CUT = re.compile(r"[\r\n]+|(?<=[.!?…:;])[)\"'»”’]*\s+|(?<=[。！？；])")
 _SCRIPT = regex.compile(r"(?<=\p{Han}[^\p{L}]{0,4})(?=(?:[\p{Latin}'’]+[ ,]+){2,}[\p{Latin}'’]+)|(?<=(?:\p{Latin}+[ ,]+){2,}\p{Latin}+[^\p{L}]{0,4})(?=\p{Han})")
 #: Addresses, handles, tags and code have no language; a hyphen at a line end parts a word.
-_WIRE = re.compile(r"(?<=[^\W\d_])[-¬­‐]\r?\n\s*(?=[^\W\d_])|https?://\S+|www\.\S+|(?<!\S)/\S+|\S*[={}@\\]\S*|[#]\w+|\b\w+_\w+\b|&[a-z]+;|</?\w+[^<>]*>")
+#: Each rule is tried only on texts that hold one of its marks.
+_RULES = (
+    (("-\n", "¬\n", "­\n", "‐\n", "-\r", "¬\r"), re.compile(r"(?<=[^\W\d_])[-¬­‐]\r?\n\s*(?=[^\W\d_])"), ""),
+    (("://", "www."), re.compile(r"https?://\S+|www\.\S+"), " "),
+    (("=", "{", "}", "@", "\\"), re.compile(r"(?<!\S)[^\s={}@\\]*[={}@\\]\S*"), " "),
+    ((" /", "\n/"), re.compile(r"(?<!\S)/\S+"), " "),
+    (("_",), re.compile(r"\w*_\w*"), " "),
+    (("#",), re.compile(r"#\w+"), " "),
+    (("&",), re.compile(r"&[a-z]+;"), " "),
+    (("<",), re.compile(r"</?\w+[^<>]*>"), " "),
+)
+
+
+def without_code(text: str) -> str:
+    for marks, rule, to in _RULES:
+        for m in marks:
+            if m in text:
+                text = rule.sub(to, text)
+                break
+    return text
 
 
 def label_language(col: Column) -> Column:
@@ -74,8 +94,7 @@ def label_language(col: Column) -> Column:
 
 
 def fragments(text: str) -> Iterator[str]:
-    text = _WIRE.sub(lambda m: "" if "\n" in m[0][:3] else " ", text)
-    for part in _CUT.split(text):
+    for part in _CUT.split(without_code(text)):
         if part:
             if _LATIN_RUN.search(part) and _HAN.search(part):
                 yield from (x for x in _SCRIPT.split(part) if x)
@@ -135,24 +154,26 @@ class Model:
         self.index[w] = k
         return k
 
-    def scores(self, parts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each part that has letters: log score per language, words, Han characters."""
+    def scores(self, parts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """Of each part that has letters: log score per language, words, Han characters, and
+        whether it ends as a sentence."""
         if len(self.index) > 400_000:
             self.index.clear()
         ids: list[int] = []
-        starts, words, hans = [], [], []
+        starts, words, hans, ends = [], [], [], []
         find, get, number = _TOKEN.findall, self.index.get, self.number
         for part in parts:
             tokens = find(part.lower())
             if tokens:
                 starts.append(len(ids))
+                ends.append(part.rstrip(" )\"'»”’」")[-1:] in _STOPS)
                 han = len(_HAN.findall(part)) if part > "一" or _HAN.search(part) else 0
                 hans.append(han)
                 words.append(len(tokens) - han)
                 ids += [k if (k := get(w)) is not None else number(w) for w in tokens]
         if not ids:
-            return np.zeros((0, len(LANGS))), np.zeros(0), np.zeros(0)
-        return np.add.reduceat(self.rows[ids], starts, axis=0), np.array(words), np.array(hans)
+            return np.zeros((0, len(LANGS))), np.zeros(0), np.zeros(0), []
+        return np.add.reduceat(self.rows[ids], starts, axis=0), np.array(words), np.array(hans), ends
 
 
 def decide(model: Model, text: str | None) -> list[tuple[str, float, int]]:
@@ -160,7 +181,7 @@ def decide(model: Model, text: str | None) -> list[tuple[str, float, int]]:
     of a mixed text; none without letters."""
     if not text:
         return []
-    scores, words, hans = model.scores(fragments(text))
+    scores, words, hans, ends = model.scores(fragments(text))
     if not len(scores):
         return []
     size = words + hans / 1.5
@@ -173,7 +194,7 @@ def decide(model: Model, text: str | None) -> list[tuple[str, float, int]]:
     for i in np.flatnonzero(own != main):
         k, s, n, han = int(own[i]), scores[i], words[i], hans[i]
         odds = float(s[k] - s[main])
-        whole = han >= MIN_HAN if LANGS[k] == "zh" else n >= MIN_WORDS
+        whole = (han >= MIN_HAN[not ends[i]]) if LANGS[k] == "zh" else n >= MIN_WORDS[not ends[i]]
         if whole and odds >= MIN_ODDS:
             segments[k] = max(segments.get(k, 0.0), odds)
     out = []
@@ -193,7 +214,7 @@ def fit(rows: Iterable[tuple[str, str | None]], rounds: int = 1) -> Model:
     def count(pairs: Iterable[tuple[str, str]]) -> Model:
         counts = [Counter(b) for b in base]
         for k, t in pairs:
-            counts[LANGS.index(k)].update(w.lower() for w in _TOKEN.findall(_WIRE.sub(" ", t)))
+            counts[LANGS.index(k)].update(w.lower() for w in _TOKEN.findall(without_code(t)))
         return Model([Counter({w: n for w, n in c.items() if n >= 2}) for c in counts])
 
     model = Model(base) if rounds else count(rows)
@@ -201,7 +222,7 @@ def fit(rows: Iterable[tuple[str, str | None]], rounds: int = 1) -> Model:
         pairs = []
         for _, t in rows:
             parts = [f for f in fragments(t) if _TOKEN.search(f.lower())]
-            for f, s, n, han in zip(parts, *model.scores(parts)):
+            for f, s, n, han, _ in zip(parts, *model.scores(parts)):
                 if n + han >= 4 and np.diff(np.sort(s)[-2:])[0] > 2.0:
                     pairs.append((LANGS[int(s.argmax())], f))
         model = count(pairs)
@@ -234,15 +255,19 @@ def languages(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
 
 def all_records(documents: DataFrame, chunks: DataFrame, history: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """(record_table, record_id, label, segments) over documents and the labelled chunks and
-    messages; texts are read where they lie and only languages are joined."""
+    messages; long texts are read where they lie and only their languages are joined."""
     model = model or fit(sample(documents))
     named = documents.withColumn("_key", F.concat_ws("\x1f", F.col("doc_id").cast("string"), "lang"))
     docs = languages(named, "_key", "text", model).select(F.lit("documents").alias("record_table"), F.substring_index("record_id", "\x1f", 1).alias("record_id"), F.when(F.col("record_id").contains("\x1f"), F.substring_index("record_id", "\x1f", -1)).alias("label"), "segments")
     keys = labels.select("record_table", "record_id", F.col("lang").alias("label")).distinct()
     parts = [docs]
-    for name, df, text in (("chunks", chunks, "content"), ("chat_history", history, "user_message")):
-        got = languages(df.filter(F.col(text).isNotNull()), "id", text, model)
-        parts.append(keys.filter(F.col("record_table") == name).join(got, "record_id").select("record_table", "record_id", "label", "segments"))
+    own = lambda name: keys.filter(F.col("record_table") == name)
+    got = languages(chunks.filter("content is not null"), "id", "content", model)
+    parts.append(own("chunks").join(got, "record_id").select("record_table", "record_id", "label", "segments"))
+    # few messages are labelled: those that are not needn't be read by the model
+    listed = history.select(F.col("id").alias("record_id"), "user_message").filter("user_message is not null").join(own("chat_history").select("record_id").distinct(), "record_id", "left_semi")
+    got = languages(listed, "record_id", "user_message", model)
+    parts.append(own("chat_history").join(got, "record_id").select("record_table", "record_id", "label", "segments"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

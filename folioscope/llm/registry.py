@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, language, leakage, mixing, split
+from . import conversations, language, leakage, mixing, pairs, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -80,3 +80,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
     """Aligned pairs with their scores, edited copies included."""
     return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items")).filter("run >= 5 and score >= 16")
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Defective pairs with their defect."""
+    lid = language.fit(language.sample(table(spark, d, "documents", "doc_id", "text", "lang")))
+    return pairs.defects(table(spark, d, "chat_history"), lid=lid)
