@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, language, leakage, mixing, pairs, split
+from . import conversations, language, leakage, mixing, pairs, similar, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,3 +87,9 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Defective pairs with their defect."""
     lid = language.fit(language.sample(table(spark, d, "documents", "doc_id", "text", "lang")))
     return pairs.defects(table(spark, d, "chat_history"), lid=lid)
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks of which one is among the five most similar of the other."""
+    return similar.pairs(table(spark, d, "chunks", "id", "embedding"))
