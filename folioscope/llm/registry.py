@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, language, leakage, mixing, pairs, similar, split
+from . import conversations, language, leakage, mixing, pairs, severity, similar, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -93,3 +93,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks of which one is among the five most similar of the other."""
     return similar.pairs(table(spark, d, "chunks", "id", "embedding"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents", "doc_id", "source", "text")
+    return severity.scores(documents, severity.fit(severity.sample(documents, table(spark, d, "doc_labels"))))
+
+
+@query
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with abusive, hateful or sexual content."""
+    return severity.cases(_scored(spark, d))
+
+
+@query
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Expected severity of every document."""
+    return _scored(spark, d)
+
+
+@query
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of cases by source."""
+    return severity.rates(_scored(spark, d))

@@ -1,0 +1,179 @@
+"""Graded sentences from which the severity model starts.
+
+A line is ``grade|sentence``; ``{name}`` takes each word of SLOTS in turn by chance.  Grade 1
+mentions such language or uses its words in a harmless sense, 2 insults or is suggestive,
+3 threatens, dehumanises or is explicit.  Groups are invented or general.
+"""
+
+SLOTS = {
+    "adj": "stupid useless pathetic worthless filthy lazy ugly miserable disgusting brainless dumb ridiculous damn rotten vile".split(),
+    "insult": "idiot moron imbecile cretin dimwit dumbass jerk loser coward clown bastard scumbag parasite fool pig creep halfwit asshole".split(),
+    "group": "velmorans|orrin people|immigrants|foreigners|refugees|northerners|believers|old people|disabled people|poor people|women|cripples|these people|that tribe|southerners".split("|"),
+    "vermin": "vermin rats animals filth parasites subhuman trash scum pests cockroaches".split(),
+    "es_insult": "imbécil idiota inútil payaso basura cretino estúpido cerdo".split(),
+    "es_group": "los velmoranos|los refugiados|los extranjeros|los inmigrantes|los viejos|esa gente".split("|"),
+    "es_vermin": "escoria basura ratas plaga alimañas".split(),
+    "de_insult": "Idiot Versager Trottel Vollidiot Abschaum Dummkopf Feigling".split(),
+    "de_group": "Velmoraner Flüchtlinge Ausländer Zugewanderte Behinderte".split(),
+    "de_vermin": "Ungeziefer Ratten Dreck Abschaum eine|Seuche".replace("|", "_").split(),
+    "fr_insult": "crétin abruti idiot minable déchet imbécile".split(),
+    "fr_group": "les velmorans|les réfugiés|les étrangers|ces gens|les immigrés".split("|"),
+    "fr_vermin": "des_rats la_vermine une_peste des_parasites des_déchets".split(),
+    "zh_insult": "白痴 廢物 蠢貨 人渣 笨蛋 垃圾 白癡".split(),
+    "zh_group": "維莫拉人 外地人 難民 外國人 移民".split(),
+    "zh_vermin": "害蟲 老鼠 垃圾 蟑螂 畜生".split(),
+    "act": "nudes|porn|xxx videos|naked pictures|sex chat|erotic massages|fetish clips|escort offers|strip shows|xxx clips".split("|"),
+    "who": "grown women|adult performers|mature wives|a divorced lady of 45|adult couples|men over 40|lonely wives".split("|"),
+    "es_act": "vídeos porno|fotos desnudas|chat erótico|sexo|masajes eróticos".split("|"),
+    "de_act": "Pornos|Nacktbilder|Erotik-Chat|Sexfilme".split("|"),
+    "fr_act": "films porno|du porno|des photos nues|un chat érotique|des vidéos de sexe".split("|"),
+    "zh_act": "色情影片 色情直播 裸體影片 情色聊天 裸照 成人影片".split(),
+}
+
+ABUSIVE = """2|you are a complete {insult} and everybody in this thread knows it.
+2|shut up, you {adj} piece of garbage.
+2|you {adj} {insult}, learn to read before you post.
+2|Only a {adj} {insult} would file a ticket like this.
+2|Whoever wrote this page is a {insult} and should be fired.
+2|what kind of {insult} marks homework that way, you {adj} {insult}?
+2|what a {insult} reply, typical for a {adj} {insult} like you.
+2|hey {insult}, delete your account and spare us.
+2|go cry somewhere else, {insult}, nobody asked you.
+2|get lost you {adj} {insult}.
+2|nobody asked for the opinion of a {adj} {insult} such as yourself.
+3|my reviewer is a {adj} {insult} and I hope they choke on their coffee.
+2|you damn {insult}, you ruined everything again.
+3|you are a {insult}, a {adj} one, and I will make you pay.
+3|if I ever meet you {insult} in person you will need a doctor.
+3|I will find out where you live and make you regret that comment.
+3|Honestly the world would be a nicer place if you simply stopped existing.
+3|do everyone a favour and never come back, not even your own family can stand you.
+2|people as {adj} as you should not be let near a keyboard.
+2|Nobody on this team likes you and we all laugh when you leave the room.
+2|Your work is a joke, your voice is a joke, and so are you.
+2|your brain must be smaller than a pea, try thinking for once in your {adj} life.
+3|I will hurt you if you come to class tomorrow.
+3|watch your back, I know where you sit.
+3|kill yourself, you {insult}.
+2|you people are {insult}s, all of you in this team.
+2|nobody likes you, {insult}.
+2|eres un {es_insult} y todos lo saben.
+2|eres un {es_insult} y no vales para nada.
+2|vete de aquí, {es_insult}, nadie te quiere.
+2|cállate ya, {es_insult} inútil.
+2|¿qué {es_insult} ha escrito esto?
+3|ojalá desaparezcas, nadie te va a echar de menos.
+3|te voy a encontrar y lo vas a pagar.
+2|du bist ein {de_insult} und alle wissen es.
+2|halt endlich die Klappe, du {de_insult}.
+2|verschwinde, du {de_insult}, dich braucht niemand.
+2|was für ein {de_insult} hat das geschrieben?
+3|ohne dich wäre die Welt ein besserer Ort, verschwinde für immer.
+3|ich finde heraus, wo du wohnst, und dann wirst du das bereuen.
+2|tu es un {fr_insult} et tout le monde le sait.
+2|ferme-la, espèce de {fr_insult}.
+2|dégage, {fr_insult}, personne ne veut de toi.
+2|quel {fr_insult} a écrit cela ?
+3|le monde irait mieux si tu n'étais plus là.
+3|je vais te retrouver et tu vas le regretter.
+2|你這個{zh_insult}，大家都知道你沒用。
+2|閉嘴，你這個{zh_insult}。
+2|滾開，{zh_insult}，沒人要理你。
+2|寫這個的人真是{zh_insult}。
+3|這個世界少了你會更好，快消失吧。
+3|我會找到你，讓你後悔。"""
+
+HATEFUL = """3|all {group} are {vermin} and should be thrown out of the country.
+3|{group} are {vermin}, every last one of them.
+3|keep {group} out, they are {vermin} and they lie by nature.
+3|I will not share a group with {group}, they are {vermin}.
+3|these {group} breed like rats and ruin every town.
+2|{group} should not be allowed to vote, work or live among normal folk.
+2|the only good thing {group} ever did was leave.
+2|One more of those {group} in the staff room and I will chase them out myself.
+2|why do we let {group} into this school, they belong behind a fence.
+3|Keep those {group} away from decent folk, they are not really human.
+3|the {group} got what they deserved and it should happen again.
+2|Nobody from that tribe can be trusted, send them all back on the next boat.
+2|people with that skin colour are born to steal, everyone knows.
+2|I refuse to share a room with {group}, they should be put away where nobody sees them.
+2|{group} are too stupid to run anything more than a kitchen.
+2|{group} are a burden and we should stop paying for them.
+3|their religion is a disease and anyone who follows it is {vermin}.
+2|send the {group} back where they came from, they do not belong here.
+3|todos {es_group} son {es_vermin} y hay que echarlos.
+3|{es_group} son {es_vermin}, todos sin excepción.
+3|esa gente de fuera no merece vivir entre nosotros.
+3|alle {de_group} sind {de_vermin} und müssen raus.
+3|{de_group} sind {de_vermin}, alle ohne Ausnahme.
+3|diese {de_group} sind keine richtigen Menschen.
+3|tous {fr_group} sont {fr_vermin}, il faut les chasser.
+3|{fr_group} sont {fr_vermin}, tous sans exception.
+3|ces étrangers ne sont pas de vrais humains.
+3|{zh_group}全是{zh_vermin}，應該通通趕出去。
+3|{zh_group}都是{zh_vermin}，沒有例外。
+3|那些{zh_group}根本不算人，不配和我們住在一起。"""
+
+SEXUAL = """3|he slid his hand under her dress and she pulled him onto the hotel bed, both of them past forty and out of breath.
+3|she took off everything and climbed on top of her husband, moaning louder with every move.
+3|their bodies pressed together under the sheets, the two lovers did not stop until both were spent.
+2|lonely wives 40+ send {act} in private chat, click to see more.
+2|meet {who} for {act} in your city tonight, 18+ only.
+2|unlimited {act}, no signup, {who} waiting for you.
+2|{act} with {who}, first hour free, adults only.
+3|free {act} of grown women, uncensored, watch now.
+3|hot singles over 30 want to get naked with you tonight, adults only.
+2|my account was hacked so here are {act} of {who} for you all.
+2|look at these {act} of {who}, sent to me last night.
+2|live webcam strip show by {who}, no limits.
+2|big boobs calendar for grown men, order today.
+2|get her horny in ten minutes with these pills for men over 40.
+2|Our adult model shop ships porn dvds and sex toys in plain boxes.
+2|{es_act} gratis para adultos, entra ya.
+2|{es_act} con mujeres maduras, solo adultos.
+2|mujeres adultas desnudas te esperan esta noche, solo mayores de 18.
+2|gratis {de_act} für Erwachsene, jetzt klicken.
+2|{de_act} mit reifen Frauen, nur für Erwachsene.
+2|nackte Frauen ab 30 warten heute Nacht auf dich, nur für Erwachsene.
+2|{fr_act} gratuits pour adultes, clique ici.
+2|{fr_act} avec des femmes mûres, réservé aux adultes.
+2|des femmes adultes nues t'attendent ce soir, réservé aux majeurs.
+2|寂寞熟女今晚等你，{zh_act}無上限。
+2|成人限定{zh_act}，馬上點進來。
+2|成人{zh_act}免費看，限十八歲以上。"""
+
+HARMLESS = """1|The essay discusses a novel in which the hero hates himself and feels worthless.
+1|La unidad de salud trata la educación sexual y la prevención.
+1|Sort the adult education courses by town, for example Middlesex or Scunthorpe.
+1|Shoot the video in landscape mode and kill the background noise first.
+1|The history module explains how propaganda described refugees as vermin and why that was wrong.
+1|The history module explains how propaganda described {group} as {vermin} and why that was wrong.
+1|The dummy variable is set to zero and the worker process is killed after a timeout.
+1|A parent reported that their child was called an {insult} in the chat, and the moderator removed the message.
+1|A teacher reported that a student was called a {insult}, and the comment was deleted.
+1|My own stupid mistake: I forgot to save the file before lunch.
+1|Words such as {insult} or {insult} are blocked by the filter in class chats.
+1|The filter blocks words like {insult}, {insult} and {adj}.
+1|The health unit covers breast cancer screening and the biology of sexual reproduction.
+1|This report is trash quality when printed, so please export it again at 300 dpi.
+1|He shouted that the printer was a piece of garbage and then fixed it.
+1|Die Einheit zur Sexualkunde steht unter Biologie.
+1|Der Filter sperrt Wörter wie {de_insult} im Chat.
+1|Das Modul erklärt, wie Propaganda {de_group} als {de_vermin} darstellte.
+1|Le module de santé aborde l'éducation sexuelle.
+1|Le filtre bloque des mots comme {fr_insult} dans les discussions.
+1|Le cours explique pourquoi dire que {fr_group} sont {fr_vermin} est une insulte raciste.
+1|El filtro bloquea palabras como {es_insult} en el chat.
+1|El módulo de historia explica cómo la propaganda llamaba {es_vermin} a {es_group}.
+1|過濾器會封鎖{zh_insult}這類字詞。
+1|歷史單元說明宣傳如何把{zh_group}稱為{zh_vermin}，以及為何這是錯的。
+1|健康教育單元介紹性教育與預防。
+1|The lesson on hate speech quotes the sentence "{group} are {vermin}" and asks why it is wrong.
+1|The policy forbids insults such as "you {insult}" and explains how to report them.
+1|A museum shows naked statues from antiquity.
+1|The biology course covers reproduction, puberty and contraception.
+1|The old people's home and the disabled people's club visited our school.
+1|Refugees and immigrants are welcome in every class.
+1|Women were not allowed to vote in many countries until the last century.
+1|I killed two hours looking for that stupid button.
+1|The adult class meets tonight, first hour free."""
