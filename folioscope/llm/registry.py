@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
-from . import conversations, language, leakage, mixing, pairs, severity, similar, split
+from . import conversations, language, leakage, mixing, pairs, scans, severity, similar, split
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,19 @@ def p10_scores(spark: SparkSession, d: str) -> DataFrame:
 def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates of cases by source."""
     return severity.rates(_scored(spark, d))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks", "id", "document_title", "page_number", "content")
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned pages with each kind of noise."""
+    return scans.noises(_pages(spark, d))
+
+
+@query
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Scanned pages as readable paragraphs."""
+    return scans.paragraphs(_pages(spark, d))
