@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import table
 from . import conversations, language, leakage, mixing, pairs, scans, severity, similar, split
+from .sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
