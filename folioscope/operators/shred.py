@@ -35,6 +35,9 @@ REPEATED = ("passages", "highlights", "related")
 #: Members that mark an object as a source rather than as a wrapper around sources.
 OWN_MEMBERS = frozenset(("title", "url", "type", "page", "similarity", "section", "passages", "related", "chunk_index", "score", "start", "end"))
 
+#: Names under which wrappers keep the sources.
+WRAPPERS = frozenset(("sources", "items", "results", "data", "documents"))
+
 Levels = tuple[list[int], list[int], list[str | None]]
 
 
@@ -60,7 +63,7 @@ def unwrap(value, own: frozenset[str] = OWN_MEMBERS):
         elif isinstance(value, dict) and not own & value.keys():
             inner = [x for x in value.values() if isinstance(x, (list, dict))] or [x for x in value.values() if isinstance(x, str) and x.lstrip()[:1] in ("[", "{")]
             if not inner:
-                return value
+                return [] if WRAPPERS & value.keys() else value
             value = inner[0]
         else:
             return value
