@@ -45,7 +45,7 @@ _ALIKE = str.maketrans("аеорсухіјѕһԁԛԝɡıοαεικνρτυ", "ae
 _SIGNS = str.maketrans("@$€!0134578", "aseioieastb")
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿︀-️]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])|[\r\n]+|(?<=:)\s+|\s\|\s")
-_PARTED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ ._*\-]){2,}[^\W\d_](?![^\W_])")
+_PARTED = re.compile(r"(?<![^\W_])(?<![@$€*])(?:[^\W\d_][ ._*\-]){2,}[^\W\d_](?![^\W_])")
 _HAN_PARTED = re.compile(r"(?<=[一-鿿])[ ._*\-](?=[一-鿿])")
 _TOKEN = re.compile(r"[一-鿿]|[a-zà-öø-ÿœß@$€!0-9][a-zà-öø-ÿœß@$€!*0-9'’]*")
 _REPEAT = re.compile(r"(.)\1+")
@@ -78,6 +78,12 @@ def tokens(sentence: str) -> list[str]:
     return out
 
 
+def _joined(m: re.Match) -> str:
+    """Parted letters as a word; letters parted by * without a vowel are a word masked so."""
+    w = re.sub(r"[ ._*\-]", "", m[0])
+    return m[0] if "*" in m[0] and not _VOWELS.search(w) else w
+
+
 def _ALIKE_ALL(s: str) -> str:
     if not s.isascii():
         s = _HIDDEN.sub("", unicodedata.normalize("NFKC", s))
@@ -86,7 +92,7 @@ def _ALIKE_ALL(s: str) -> str:
         s = s.translate(_ALIKE)
     if "**" in s:
         s = re.sub(r"(?<!\w)\*\*|\*\*(?!\w)", "", s)
-    s = _PARTED.sub(lambda m: re.sub(r"[ ._*\-]", "", m[0]), s)
+    s = _PARTED.sub(_joined, s)
     return _HAN_PARTED.sub("", s)
 
 
