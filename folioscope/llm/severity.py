@@ -116,7 +116,7 @@ class Ordinal:
         self.w = np.zeros((0, len(CATEGORIES)))
         self.theta = np.zeros((GRADES, len(CATEGORIES)))
 
-    def fit(self, rows: Sequence[tuple[Sequence[str], Sequence[int]]], steps: int = 200, rate: float = 0.05, decay: float = 2e-5, least: int = 3) -> Ordinal:
+    def fit(self, rows: Sequence[tuple[Sequence[str], Sequence[int]]], steps: int = 130, rate: float = 0.06, decay: float = 2e-5, least: int = 3) -> Ordinal:
         """``rows``: (features, grade of each category)."""
         seen: dict[str, int] = {}
         for x, _ in rows:
@@ -238,7 +238,7 @@ def fit(reviewed: Sequence[tuple[str, str]], seed: int = SEED) -> Ordinal:
             k = rng.randrange(len(ws) - 2)
             distinct.append(" ".join(ws[k : k + rng.randint(2, 6)]))
     plain = [(features(tokens(s)), zero) for s in distinct]
-    model = Ordinal().fit(rows + plain, steps=120)
+    model = Ordinal().fit(rows + plain, steps=70)
     if not distinct:
         return model
     sure = model.expected(distinct).max(axis=1) > 1.2
