@@ -7,8 +7,8 @@ Method: hierarchical navigable small-world graphs per shard, shard results merge
 2. Pivots are fitted on a bounded sample (``SAMPLE`` vectors in hash order); each class goes to
    the shards of its ``SPREAD`` nearest pivots, one for about ``SHARD_ROWS`` classes.  Two
    vectors are compared if they share a shard.
-3. A shard of more than ``MAX_SHARD`` rows is cut by a hash into parts; every row of the shard
-   is searched in all of its parts, so none of its pairs is lost.
+3. A shard of more than ``MAX_SHARD`` rows is cut by a hash into parts; for every two parts a
+   task holds the graph of one and the rows of the other, so no task grows and no pair is lost.
 4. In each part the graph is built and every row searched (``hnsw``); the best ``k`` of each row
    over its shards are kept.
 5. Classes are expanded: a row's neighbours are its copies first, then the members of the
@@ -39,7 +39,7 @@ DIM, K, MIN_COSINE = 64, 5, 0.90
 SAMPLE, SHARD_ROWS, SPREAD, MAX_SHARD, MAX_PIVOTS, ROUNDS = 20_000, 1000, 2, 8192, 16_384, 6
 
 _USABLE = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("id", T.StringType()), T.StructField("v", T.BinaryType())])
-_ROUTED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("own", T.BooleanType()), T.StructField("id", T.StringType()), T.StructField("v", T.BinaryType())])
+_ROUTED = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("part", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("v", T.BinaryType())])
 _NEAR = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("cosine", T.DoubleType())])
 
 
@@ -71,6 +71,15 @@ def usable(df: DataFrame, id_col: str, vector_col: str, dim: int = DIM) -> DataF
     return df.select(F.col(id_col).cast("string"), F.col(vector_col).cast("array<float>")).filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).mapInArrow(run, _USABLE)
 
 
+#: What a row is to a task: a node of its graph that is searched too, a node only, a query only.
+BOTH, NODE, QUERY = 2, 1, 0
+
+
+def _routed(rows: list[tuple[int, int, int, str, bytes]]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(types)], names=_ROUTED.names)
+
+
 def fit_pivots(x: np.ndarray, count: int, rounds: int = ROUNDS) -> np.ndarray:
     """Unit centres of ``count`` cells by spherical k-means; rows are in hash order."""
     count = max(1, min(count, len(x)))
@@ -114,25 +123,33 @@ def class_neighbours(classes: DataFrame, k: int = K, min_cosine: float = MIN_COS
         for b in batches:
             ids, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
             cells = _assign(_vectors(b.column(1)), pivots.value, spread)
-            out: list[tuple[int, int, bool, str, bytes]] = []
+            out: list[tuple[int, int, int, str, bytes]] = []
             for i, v, row in zip(ids, vs, cells.tolist()):
                 for c in row:
                     p = parts.value.get(c, 1)
                     mine = xxhash.xxh3_64_intdigest(i) % p if p > 1 else 0
-                    out += [(c, q, q == mine, i, v) for q in range(p)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.binary()))], names=_ROUTED.names)
+                    out.append((c, mine * p + mine, BOTH, i, v))
+                    for other in range(p):
+                        if other != mine:
+                            out += [(c, mine * p + other, NODE, i, v), (c, other * p + mine, QUERY, i, v)]
+                if len(out) > 50_000:
+                    yield _routed(out)
+                    out = []
+            yield _routed(out)
 
     def search(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by([("own", "descending"), ("id", "ascending")])
+        t = t.combine_chunks().sort_by([("role", "descending"), ("id", "ascending")])
         ids = np.array(t.column("id").to_pylist(), object)
         x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float32).reshape(len(ids), -1)
-        own = int(np.count_nonzero(t.column("own").to_numpy()))
+        role = t.column("role").to_numpy()
+        own = int(np.count_nonzero(role >= NODE))
         # the order of nodes is that of a hash of their ids
         order = np.argsort([xxhash.xxh3_64_intdigest(i) for i in ids[:own]], kind="stable")
         graph = hnsw.Graph(x[:own][order])
         names = ids[:own][order]
         a, b, c = [], [], []
-        for q, who, start in ((x[:own][order], names, np.arange(own)), (x[own:], ids[own:], None)):
+        itself = (x[:own][order], names, np.arange(own)) if own and role[0] == BOTH else (x[:0], names[:0], None)
+        for q, who, start in (itself, (x[own:], ids[own:], None)):
             if len(q) and own:
                 near, sims = graph.search(q, k, start)
                 r, j = np.nonzero((near >= 0) & (sims >= min_cosine - 1e-6))
