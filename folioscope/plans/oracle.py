@@ -154,6 +154,10 @@ SELECT t.document_title, coalesce(x.link, '') AS source_url FROM (SELECT DISTINC
     "str13_phrases": f"WITH {_HM}, t AS (SELECT id, {_terms('user_message')} AS terms FROM h), p AS (SELECT id, {_phrases(3)} AS ps FROM t) SELECT id, array_to_string(list_filter(ps, lambda x, i: list_position(ps, x) = i), '|') AS phrases FROM p",
     "flt10_prefixed": f"""WITH {_HM}, k AS (SELECT id, user_message, CASE WHEN starts_with(lower(user_message), 'teacher:') THEN 'teacher' WHEN starts_with(lower(user_message), 'student:') THEN 'student' END AS kind FROM h)
 SELECT * FROM (SELECT id, kind, {_strip("CASE WHEN kind IS NOT NULL THEN substring(user_message, 9) ELSE user_message END")} AS message FROM k) WHERE message <> ''""",
+    "str18_demo_reply": f"""WITH {_HM} SELECT id, 'Found in Guide, ' || coalesce(device_id, 'Unknown') || '. Set up a chat model for a full answer.' AS reply,
+CASE WHEN contains(lower(user_message), 'hello') OR contains(lower(user_message), 'hi') THEN 'Hello! Ingest some manuals first, then ask again.' WHEN contains(lower(user_message), 'what') THEN 'Good question. It needs ingested manuals to be answered.'
+ELSE 'You asked: ''' || user_message || '''. Ingest manuals and set up a chat model first.' END AS bare_reply FROM h""",
+    "dte02_clock": f"WITH {_H} SELECT id, strftime(created_at, '%H:%M') AS shown FROM h",
     "str20_previews": "SELECT id, substring(id, 1, 8) AS short_id, substring(document_title, 1, 40) AS short_title FROM chunks",
     "win08_sections": f"""WITH l AS (SELECT doc_id, unnest({_lines('text')}) AS raw, generate_subscripts({_lines('text')}, 1) AS pos FROM documents), s AS (SELECT doc_id, pos, {_strip('raw')} AS line FROM l),
 h AS (SELECT doc_id, pos, f, {_HEADING} AS heading FROM (SELECT doc_id, pos, {_first_heading('line')} AS f FROM s WHERE line <> '')),

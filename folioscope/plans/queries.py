@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text, vector
-from ..operators import embedding, history, ingest, retrieval, shred
+from ..functions import ids, text, vector
+from ..operators import chat, embedding, history, ingest, retrieval, shred
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,6 +275,20 @@ def flt10_prefixed(spark: SparkSession, d: str) -> DataFrame:
     return h.select("id", kind.alias("kind"), rest.alias("message")).filter("message != ''")
 
 
+@query
+def str18_demo_reply(spark: SparkSession, d: str) -> DataFrame:
+    """STR-18: the reply without a model to every message, once with and once without a title."""
+    h = history.once(table(spark, d, "chat_history")).filter("user_message is not null")
+    with_title = chat.demo_reply(F.col("user_message"), F.array(F.lit("Guide"), F.col("device_id")))
+    return h.select("id", with_title.alias("reply"), chat.demo_reply(F.col("user_message"), F.array().cast("array<string>")).alias("bare_reply"))
+
+
+@query
+def dte02_clock(spark: SparkSession, d: str) -> DataFrame:
+    """DTE-02: the time shown beside each message."""
+    return history.once(table(spark, d, "chat_history")).select("id", ids.clock(F.col("created_at")).alias("shown"))
+
+
 @query
 def str20_previews(spark: SparkSession, d: str) -> DataFrame:
     """STR-20: short ids and titles."""
