@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vector
-from ..session import maybe_broadcast
+from ..session import cut, maybe_broadcast
 
 LIMIT, THRESHOLD, CALLER_THRESHOLD = 8, 0.1, 0.2
 COLUMNS = ["id", "content", "document_title", "source_url", "manual_type", "chunk_index", "page_number", "chunk_total"]
@@ -34,8 +34,9 @@ def neighbour_indices(matched: DataFrame) -> DataFrame:
 
 def search(chunks: DataFrame, query: Sequence[float], threshold: float = THRESHOLD, count: int = LIMIT, manual_type: str | None = None) -> DataFrame:
     """RET-01: hits with the chunks before and after them.  Neighbours bypass the threshold and
-    the type filter and have similarity 0.  Both joins are against at most 3 x ``count`` rows."""
-    matched = top_k(chunks, query, threshold, count, manual_type)
+    the type filter and have similarity 0.  Vectors are scanned once and contents once; both
+    joins are against at most 3 x ``count`` rows."""
+    matched = cut(top_k(chunks, query, threshold, count, manual_type))  # a few rows, read twice below
     needed = F.broadcast(neighbour_indices(matched))  # at most 3 x count rows
     hits = F.broadcast(matched.select("id", "similarity"))  # at most count rows
     found = chunks.select(*COLUMNS).join(needed, ["document_title", "chunk_index"]).join(hits, "id", "left")
@@ -60,8 +61,8 @@ def rerank(candidates: DataFrame, question: str, position: Sequence[Column | str
     scored = candidates.withColumn("score", relevance(question)).withColumn("_title", F.coalesce("document_title", F.lit("")))
     one = scored.withColumn("_r", F.row_number().over(Window.partitionBy("_title").orderBy(F.desc("score"), *position))).filter("_r = 1").drop("_r")
     best = one.orderBy(F.desc("score"), "_title").limit(k)
-    # at most k rows are ranked in one task
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "_title")) - 1).drop("_title")
+    # at most k rows are ranked in one task, and kept, as they are read several times
+    return cut(best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "_title")) - 1).drop("_title"))
 
 
 def first_chunks(chunks: DataFrame, titles: DataFrame, count: int = 10) -> DataFrame:
@@ -99,7 +100,7 @@ def candidates(chunks: DataFrame, question: str, limit: int = LIMIT) -> DataFram
 
     if not terms:
         return chunks.select(*COLUMNS).limit(0).withColumns({"term_no": F.lit(0), "row_no": F.lit(0), "phase": F.lit(0)})
-    by_title = matches("document_title", terms, 0, 2 * limit)
+    by_title = cut(matches("document_title", terms, 0, 2 * limit))  # at most 2 x limit rows a term
     if by_title.limit(limit).count() >= limit:
         return by_title
     return by_title.unionByName(matches("content", terms[:3], 1, limit))
@@ -114,7 +115,7 @@ def fallback(chunks: DataFrame, question: str, limit: int = LIMIT) -> DataFrame:
 def retrieve(chunks: DataFrame, question: str, query: Sequence[float] | None, manual_type: str | None = None, limit: int = LIMIT) -> DataFrame:
     """RET-05: vector search, rerank, expansion; lexical retrieval without a vector or a hit."""
     if query is not None:
-        hits = search(chunks, query, CALLER_THRESHOLD, limit, manual_type)
+        hits = cut(search(chunks, query, CALLER_THRESHOLD, limit, manual_type))
         if not hits.isEmpty():
             return expand(rerank(hits, question, [F.col("chunk_index").asc_nulls_last(), "id"], limit), chunks)
     return fallback(chunks, question, limit)
