@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest side that may be broadcast, in bytes of Catalyst's estimate.
@@ -43,3 +43,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder, so that lost executors cost one read."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def hash_sample(df: DataFrame, key: str, limit: int, rows: int, *then: Column) -> DataFrame:
+    """At most ``limit`` rows of ``df`` in the order of a hash of ``key``.  ``rows`` is the size
+    of the whole table (or more): by it about four times the limit pass the hash, so every task
+    sends few rows, however many tasks there are.  ``then`` orders rows of one key."""
+    share = 4 * limit / max(1, rows)
+    h = F.xxhash64(key)
+    if share < 1:
+        df = df.filter(h < F.lit(int(-(2**63) + share * 2**64)))
+    return df.orderBy(h, key, *then).limit(limit)
