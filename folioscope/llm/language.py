@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import hash_sample
+
 LANGS = ("en", "zh", "es", "de", "fr")
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
 #: A whole sentence has at least so many words, or Han characters: (with an end mark, without).
@@ -232,7 +234,7 @@ def fit(rows: Iterable[tuple[str, str | None]], rounds: int = 1) -> Model:
 def sample(documents: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str]]:
     """The labelled rows to fit on: at most ``limit``, in the order of a hash of doc_id."""
     labelled = documents.select("doc_id", "text", label_language(F.col("lang")).alias("k")).filter(F.col("k").isin(*LANGS) & (F.length("text") <= SAMPLE_CHARS))
-    return [(r[0], r[1]) for r in labelled.orderBy(F.xxhash64("doc_id"), "doc_id").select("k", "text").limit(limit).collect()]
+    return [(r["k"], r["text"]) for r in hash_sample(labelled, "doc_id", limit, documents.count()).collect()]
 
 
 _SEGMENTS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("fragments", T.IntegerType())]))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import hash_sample
 from . import severity_pools as pools
 from .mixing import clean_source
 
@@ -257,9 +258,9 @@ def sample(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE, backgro
     """(label, text) of reviewed documents whose reviews agree, and of any ``background`` ones
     as ``none``."""
     agreed = labels.filter("label is not null").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_m")).filter("label = _m")
-    first = agreed.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", "label")
+    first = hash_sample(agreed, "doc_id", limit, labels.count())
     got = documents.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(first), "doc_id")  # at most ``limit`` short rows
-    plain = documents.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).orderBy(F.xxhash64("doc_id"), "doc_id").limit(background)
+    plain = hash_sample(documents.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS), "doc_id", background, documents.count())
     return sorted((r[0], r[1]) for r in got.select("label", "text").collect()) + sorted(("none", r[1]) for r in plain.collect())
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut, maybe_broadcast
+from ..session import cut, hash_sample, maybe_broadcast
 from . import hnsw
 
 DIM, K, MIN_COSINE = 64, 5, 0.90
@@ -103,7 +103,7 @@ def class_neighbours(classes: DataFrame, k: int = K, min_cosine: float = MIN_COS
     ``min_cosine``."""
     spark = classes.sparkSession
     n = classes.count()
-    first = classes.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()  # bounded
+    first = hash_sample(classes.select("id", "v"), "id", SAMPLE, n).select("v").collect()  # bounded
     if n < 2:
         return spark.createDataFrame([], _NEAR)
     sample = np.frombuffer(b"".join(bytes(r[0]) for r in first), np.float32).reshape(len(first), -1)
