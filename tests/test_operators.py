@@ -195,3 +195,14 @@ def test_stream(spark, tmp_path):
     q = ingest_stream(spark, str(tmp_path / "pages"), str(tmp_path / "out"), str(tmp_path / "cp"), embedding.HashEmbedder(8))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2  # nothing twice
+
+
+def test_hash_sample(spark):
+    from folioscope.session import hash_sample
+
+    df = spark.range(20_000).withColumnRenamed("id", "k")
+    a = [r.k for r in hash_sample(df, "k", 100, 20_000).collect()]
+    b = [r.k for r in hash_sample(df.repartition(7), "k", 100, 20_000).collect()]
+    assert a == b and len(a) == 100 and len(set(a)) == 100
+    assert hash_sample(df.limit(5), "k", 100, 5).count() == 5
+    assert hash_sample(df.limit(0), "k", 100, 0).count() == 0
