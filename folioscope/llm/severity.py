@@ -24,6 +24,7 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -52,31 +53,22 @@ _TOKEN = re.compile(r"[一-鿿]|[a-zà-öø-ÿœß@$€!0-9][a-zà-öø-ÿœß@$
 _REPEAT = re.compile(r"(.)\1+")
 _VOWELS = re.compile(r"[aeiouyà-æè-ïò-öø-üœ*]")
 _DISGUISE = re.compile(r"[@$€!*0-9]")
+_LETTER = re.compile(r"[a-zà-öø-ÿœß]")
+_BOLD = re.compile(r"(?<!\w)\*\*|\*\*(?!\w)")
+#: Sentence marks that must outlast the folding of wide letters.
+_WIDE = str.maketrans("！？", "。。")
 
 
-def tokens(sentence: str) -> list[str]:
-    """Words as they are meant; Han characters one by one."""
-    s = _ALIKE_ALL(sentence)
-    out = []
-    for w in _TOKEN.findall(s):
-        if "一" <= w[0] <= "鿿":
-            out.append(w)
-            continue
-        w = w.strip("'’")
-        if _DISGUISE.search(w):
-            if not re.search(r"[a-zà-öø-ÿœß]", w):
-                w = w.strip("!*")
-                if not re.search(r"[@$€]", w):
-                    if w:
-                        out.append("0")
-                    continue
-            w = w.rstrip("!") if w.count("!") == 1 and w.endswith("!") else w
-            w = w.translate(_SIGNS)
-            if "*" in w and len(w) > 2:
-                out.append("m:" + _REPEAT.sub(r"\1", _VOWELS.sub("", w)))
-                continue
-        out.append(_REPEAT.sub(r"\1", w))
-    return out
+def plain(text: str) -> str:
+    """Text in lower case with its disguises by signs undone; line ends and sentence marks stay."""
+    if not text.isascii():
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text.translate(_WIDE)))
+    text = text.lower()
+    if not text.isascii():
+        text = _HAN_PARTED.sub("", text.translate(_ALIKE))
+    if "**" in text:
+        text = _BOLD.sub("", text)
+    return _PARTED.sub(_joined, text)
 
 
 def _joined(m: re.Match) -> str:
@@ -85,16 +77,32 @@ def _joined(m: re.Match) -> str:
     return m[0] if "*" in m[0] and not _VOWELS.search(w) else w
 
 
-def _ALIKE_ALL(s: str) -> str:
-    if not s.isascii():
-        s = _HIDDEN.sub("", unicodedata.normalize("NFKC", s))
-    s = s.lower()
-    if not s.isascii():
-        s = s.translate(_ALIKE)
-    if "**" in s:
-        s = re.sub(r"(?<!\w)\*\*|\*\*(?!\w)", "", s)
-    s = _PARTED.sub(_joined, s)
-    return _HAN_PARTED.sub("", s)
+@lru_cache(maxsize=200_000)
+def _meant(w: str) -> str:
+    """A token as it is meant, empty if it says nothing."""
+    if "一" <= w[0] <= "鿿":
+        return w
+    w = w.strip("'’")
+    if _DISGUISE.search(w):
+        if not _LETTER.search(w):
+            w = w.strip("!*")
+            if not re.search(r"[@$€]", w):
+                return "0" if w else ""
+        w = w.rstrip("!") if w.count("!") == 1 and w.endswith("!") else w
+        w = w.translate(_SIGNS)
+        if "*" in w and len(w) > 2:
+            return "m:" + _REPEAT.sub(r"\1", _VOWELS.sub("", w))
+    return _REPEAT.sub(r"\1", w)
+
+
+def _tokens(sentence: str) -> list[str]:
+    """Tokens of a sentence of plain text."""
+    return [m for w in _TOKEN.findall(sentence) if (m := _meant(w))]
+
+
+def tokens(sentence: str) -> list[str]:
+    """Words as they are meant; Han characters one by one."""
+    return _tokens(plain(sentence))
 
 
 def features(ws: Sequence[str]) -> list[str]:
@@ -116,6 +124,7 @@ class Ordinal:
         self.index: dict[str, int] = {}
         self.w = np.zeros((0, len(CATEGORIES)))
         self.theta = np.zeros((GRADES, len(CATEGORIES)))
+        self._prepare()
 
     def fit(self, rows: Sequence[tuple[Sequence[str], Sequence[int]]], steps: int = 130, rate: float = 0.06, decay: float = 2e-5, least: int = 3) -> Ordinal:
         """``rows``: (features, grade of each category)."""
@@ -160,22 +169,57 @@ class Ordinal:
                 v += speed * (s1 / (1 - 0.9**step)) / (np.sqrt(s2 / (1 - 0.99**step)) + 1e-7)
             th.sort(axis=0)
         self.w, self.theta = w, th
+        self._prepare()
         return self
 
+    def _prepare(self) -> None:
+        """Feature numbers by word and by pair, so that scoring makes no feature names."""
+        self.single: dict[str, tuple[int, ...]] = {}
+        self.pairs: tuple[dict, dict] = ({}, {})
+        for f, i in self.index.items():
+            if " " in f:
+                a, _, b = f.partition(" _ ") if " _ " in f else f.partition(" ")
+                self.pairs[" _ " in f].setdefault(a, {})[b] = i
+
+    def _numbers(self, ws: Sequence[str]) -> set[int]:
+        """The features of a sentence; the same as ``features`` gives."""
+        ids: set[int] = set()
+        next_, later = self.pairs
+        for k, w in enumerate(ws):
+            own = self.single.get(w)
+            if own is None:
+                if len(self.single) > 200_000:
+                    self.single.clear()
+                own = self.single[w] = tuple(i for f in features([w]) if (i := self.index.get(f)) is not None)
+            ids.update(own)
+            if (n := next_.get(w)) and k + 1 < len(ws) and (i := n.get(ws[k + 1])) is not None:
+                ids.add(i)
+            if (n := later.get(w)) and k + 2 < len(ws) and (i := n.get(ws[k + 2])) is not None:
+                ids.add(i)
+        return ids
+
+    def _expected(self, tokens_: Sequence[Sequence[str]]) -> np.ndarray:
+        out = np.zeros((len(tokens_), len(CATEGORIES)))
+        flat: list[int] = []
+        at, starts, sizes = [], [], []
+        for i, ws in enumerate(tokens_):
+            if ids := self._numbers(ws):
+                at.append(i)
+                starts.append(len(flat))
+                sizes.append(len(ids))
+                flat += ids
+        if flat:
+            eta = np.add.reduceat(self.w[flat], starts, axis=0) / np.sqrt(LEAST + np.array(sizes))[:, None]
+            out[at] = (1 / (1 + np.exp(np.clip(self.theta[None] - eta[:, None, :], -30, 30)))).sum(axis=1)
+        return out
+
     def expected(self, texts: Sequence[str]) -> np.ndarray:
         """Expected severity of each sentence and category."""
-        out = np.zeros((len(texts), len(CATEGORIES)))
-        get = self.index.get
-        for i, t in enumerate(texts):
-            ids = list({k for f in features(tokens(t)) if (k := get(f)) is not None})
-            if ids:
-                eta = self.w[ids].sum(axis=0) / np.sqrt(LEAST + len(ids))
-                out[i] = (1 / (1 + np.exp(self.theta - eta))).sum(axis=0)
-        return out
+        return self._expected([tokens(t) for t in texts])
 
     def document(self, text: str | None) -> np.ndarray:
-        parts = sentences(text) if text else []
-        return self.expected(parts).max(axis=0) if parts else np.zeros(len(CATEGORIES))
+        parts = [ws for s in sentences(plain(text)) if (ws := _tokens(s))] if text else []
+        return self._expected(parts).max(axis=0) if parts else np.zeros(len(CATEGORIES))
 
 
 def disguise(word: str, rng: random.Random) -> str:
