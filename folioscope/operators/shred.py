@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 #: Members that hold lists of objects.
 REPEATED = ("passages", "highlights", "related")
 #: Members that mark an object as a source rather than as a wrapper around sources.
-OWN_MEMBERS = frozenset(("title", "url", "type", "page", "similarity", "section", "passages", "related", "chunk_index", "score", "start", "end"))
+OWN_MEMBERS = frozenset(("title", "url", "similarity", "section", "passages", "related", "chunk_index", "score", "start", "end"))
 
 #: Names under which wrappers keep the sources.
 WRAPPERS = frozenset(("sources", "items", "results", "data", "documents"))
