@@ -1,4 +1,4 @@
-"""Chunks of about a number of tokens with an overlap, made page by page (STR-04).
+"""Chunks of about a number of tokens with an overlap, made page by page (STR-04, WIN-09).
 
 The fold over sentences is sequential, so it runs over Arrow batches; numbering and totals are
 windows (WIN-01, AGG-09).

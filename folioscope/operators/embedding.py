@@ -42,7 +42,7 @@ class HashEmbedder:
 
 
 def embed(df: DataFrame, column: str, embedder: Embedder, dry_run: bool = False, attempts: int = 3, batch: int = BATCH) -> DataFrame:
-    """EMB-01..03: ``df`` with ``embedding``, ``status`` and ``error``.  A batch is tried
+    """EMB-01..03, MTH-05, JN-08: ``df`` with ``embedding``, ``status`` and ``error``.  A batch is tried
     ``attempts`` times and then given up with nulls; a dry run gives zero vectors."""
     schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -71,6 +71,14 @@ def embed(df: DataFrame, column: str, embedder: Embedder, dry_run: bool = False,
     return df.mapInArrow(run, schema)
 
 
+def query_vector(question: str, embedder: Embedder) -> list[float] | None:
+    """EMB-05: the vector of one question, on the driver; None if the model fails."""
+    try:
+        return embedder([question])[0]
+    except Exception:  # noqa: BLE001
+        return None
+
+
 def embed_distinct(df: DataFrame, column: str, embedder: Embedder) -> DataFrame:
     """EMB-04: equal texts are embedded once; the vectors are joined back by text."""
     once = embed(df.select(column).filter(F.col(column).isNotNull()).distinct(), column, embedder)

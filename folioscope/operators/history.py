@@ -77,7 +77,7 @@ def saved(sessions: DataFrame, messages: DataFrame) -> DataFrame:
 
 
 def logged(sessions: DataFrame, messages: DataFrame) -> DataFrame:
-    """SNK-09: sessions touched by ``messages``: updated_at moves to the last of them."""
+    """SNK-09, UDF-03: sessions touched by ``messages``: updated_at moves to the last of them."""
     m = messages.groupBy("session_id").agg(F.max("created_at").alias("_at"))
     s = sessions.join(m, sessions.id == m.session_id, "left")
     return s.select("id", "device_id", "title", "created_at", F.coalesce("_at", "updated_at").alias("updated_at"))

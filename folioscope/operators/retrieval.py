@@ -33,7 +33,7 @@ def neighbour_indices(matched: DataFrame) -> DataFrame:
 
 
 def search(chunks: DataFrame, query: Sequence[float], threshold: float = THRESHOLD, count: int = LIMIT, manual_type: str | None = None) -> DataFrame:
-    """RET-01: hits with the chunks before and after them.  Neighbours bypass the threshold and
+    """RET-01, AGG-07: hits with the chunks before and after them.  Neighbours bypass the threshold and
     the type filter and have similarity 0.  Vectors are scanned once and contents once; both
     joins are against at most 3 x ``count`` rows."""
     matched = cut(top_k(chunks, query, threshold, count, manual_type))  # a few rows, read twice below
@@ -86,7 +86,7 @@ def expand(reranked: DataFrame, chunks: DataFrame, titles: int = 3, count: int =
 
 
 def candidates(chunks: DataFrame, question: str, limit: int = LIMIT) -> DataFrame:
-    """FLT-04/05, SET-01: title matches of each term, 2 x ``limit`` a term; if there are fewer
+    """FLT-04/05, FLT-11, SET-01: title matches of each term, 2 x ``limit`` a term; if there are fewer
     than ``limit``, content matches of the first three terms too, ``limit`` a term.  One scan a
     phase: every row lists the terms it has, and a pruned window keeps the first ids."""
     terms, _ = text.terms_of(question)
