@@ -47,9 +47,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, limit: int, rows: int, *then: Column) -> DataFrame:
     """At most ``limit`` rows of ``df`` in the order of a hash of ``key``.  ``rows`` is the size
-    of the whole table (or more): by it about four times the limit pass the hash, so every task
-    sends few rows, however many tasks there are.  ``then`` orders rows of one key."""
-    share = 4 * limit / max(1, rows)
+    of the whole table (or more): by it about half more than the limit pass the hash, so every
+    task sends few rows, however many tasks there are.  ``then`` orders rows of one key."""
+    share = (1.5 * limit + 500) / max(1, rows)
     h = F.xxhash64(key)
     if share < 1:
         df = df.filter(h < F.lit(int(-(2**63) + share * 2**64)))
