@@ -24,7 +24,6 @@ import random
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from . import severity_pools as pools
 from .mixing import clean_source
 
 CATEGORIES = ("abusive", "hateful", "sexual")
-GRADES, CASE = 3, 1.5
+GRADES, CASE = 3, 1.35
 SAMPLE, BACKGROUND, SAMPLE_CHARS, SEED = 3000, 2000, 20_000, 5
 #: Few features weigh no more than this many.
 LEAST = 8
@@ -77,7 +76,6 @@ def _joined(m: re.Match) -> str:
     return m[0] if "*" in m[0] and not _VOWELS.search(w) else w
 
 
-@lru_cache(maxsize=200_000)
 def _meant(w: str) -> str:
     """A token as it is meant, empty if it says nothing."""
     if "一" <= w[0] <= "鿿":
@@ -95,14 +93,9 @@ def _meant(w: str) -> str:
     return _REPEAT.sub(r"\1", w)
 
 
-def _tokens(sentence: str) -> list[str]:
-    """Tokens of a sentence of plain text."""
-    return [m for w in _TOKEN.findall(sentence) if (m := _meant(w))]
-
-
 def tokens(sentence: str) -> list[str]:
     """Words as they are meant; Han characters one by one."""
-    return _tokens(plain(sentence))
+    return [m for w in _TOKEN.findall(plain(sentence)) if (m := _meant(w))]
 
 
 def features(ws: Sequence[str]) -> list[str]:
@@ -135,7 +128,7 @@ class Ordinal:
         self.index = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if c >= least))}
         r, c = [], []
         for i, (x, _) in enumerate(rows):
-            ids = {self.index[f] for f in x if f in self.index}
+            ids = [self.index[f] for f in x if f in self.index]
             r += [i] * len(ids)
             c += ids
         r, c = np.array(r), np.array(c)
@@ -173,53 +166,100 @@ class Ordinal:
         return self
 
     def _prepare(self) -> None:
-        """Feature numbers by word and by pair, so that scoring makes no feature names."""
-        self.single: dict[str, tuple[int, ...]] = {}
-        self.pairs: tuple[dict, dict] = ({}, {})
+        """Weights summed by word, and by pairs of word numbers, so that a sentence's score is a
+        few array sums; features count as often as they occur, as in the fit."""
+        self.raw: dict[str, int] = {}
+        self.meant: dict[str, int] = {}
+        self.sums = np.zeros((1 << 15, len(CATEGORIES)))
+        self.sizes = np.zeros(1 << 15)
+        known: tuple[list, list] = ([], [])
         for f, i in self.index.items():
             if " " in f:
-                a, _, b = f.partition(" _ ") if " _ " in f else f.partition(" ")
-                self.pairs[" _ " in f].setdefault(a, {})[b] = i
-
-    def _numbers(self, ws: Sequence[str]) -> set[int]:
-        """The features of a sentence; the same as ``features`` gives."""
-        ids: set[int] = set()
-        next_, later = self.pairs
-        for k, w in enumerate(ws):
-            own = self.single.get(w)
-            if own is None:
-                if len(self.single) > 200_000:
-                    self.single.clear()
-                own = self.single[w] = tuple(i for f in features([w]) if (i := self.index.get(f)) is not None)
-            ids.update(own)
-            if (n := next_.get(w)) and k + 1 < len(ws) and (i := n.get(ws[k + 1])) is not None:
-                ids.add(i)
-            if (n := later.get(w)) and k + 2 < len(ws) and (i := n.get(ws[k + 2])) is not None:
-                ids.add(i)
-        return ids
-
-    def _expected(self, tokens_: Sequence[Sequence[str]]) -> np.ndarray:
-        out = np.zeros((len(tokens_), len(CATEGORIES)))
+                x, _, y = f.partition(" _ ") if " _ " in f else f.partition(" ")
+                known[" _ " in f].append(((self._word(x) << 32) | self._word(y), i))
+        self.pairs = []
+        for rows in known:
+            rows.sort()
+            self.pairs.append((np.array([c for c, _ in rows], np.int64), self.w[[i for _, i in rows]] if rows else np.zeros((0, len(CATEGORIES)))))
+        self.fixed = len(self.meant)  # words of pairs keep their numbers
+
+    def _word(self, w: str) -> int:
+        k = self.meant.get(w)
+        if k is None:
+            k = self.meant[w] = len(self.meant)
+            if k == len(self.sizes):
+                self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+            ids = [i for f in features([w]) if (i := self.index.get(f)) is not None]
+            self.sums[k] = self.w[ids].sum(axis=0) if ids else 0
+            self.sizes[k] = len(ids)
+        return k
+
+    def _number(self, raw: str) -> int:
+        """The number of a token, -1 if it says nothing."""
+        m = _meant(raw)
+        k = self.raw[raw] = self._word(m) if m else -1
+        return k
+
+    def _forget(self) -> None:
+        """Words met since the fit are forgotten when there are too many."""
+        if len(self.meant) > self.fixed + 500_000:
+            self.meant = {w: k for w, k in self.meant.items() if k < self.fixed}
+            self.raw.clear()
+
+    def _expected(self, parts: Sequence[str]) -> np.ndarray:
+        """Expected severity of each sentence of plain text."""
+        out = np.zeros((len(parts), len(CATEGORIES)))
         flat: list[int] = []
-        at, starts, sizes = [], [], []
-        for i, ws in enumerate(tokens_):
-            if ids := self._numbers(ws):
+        at, starts = [], []
+        find, get, number = _TOKEN.findall, self.raw.get, self._number
+        for i, s in enumerate(parts):
+            ids = [k for t in find(s) if (k := j if (j := get(t)) is not None else number(t)) >= 0]
+            if ids:
                 at.append(i)
                 starts.append(len(flat))
-                sizes.append(len(ids))
                 flat += ids
         if flat:
-            eta = np.add.reduceat(self.w[flat], starts, axis=0) / np.sqrt(LEAST + np.array(sizes))[:, None]
-            out[at] = (1 / (1 + np.exp(np.clip(self.theta[None] - eta[:, None, :], -30, 30)))).sum(axis=1)
+            w = np.array(flat, np.int64)
+            e, n = self.sums[w], self.sizes[w]
+            sentence = np.zeros(len(w), np.int64)
+            sentence[starts[1:]] = 1
+            sentence = np.cumsum(sentence)
+            for gap, (codes, weights) in zip((1, 2), self.pairs):
+                if len(codes) and len(w) > gap:
+                    own = (w[:-gap] << 32) | w[gap:]
+                    place = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+                    hit = np.flatnonzero((codes[place] == own) & (sentence[:-gap] == sentence[gap:]))
+                    e[hit] += weights[place[hit]]
+                    n[hit] += 1
+            n = np.add.reduceat(n, starts)
+            eta = np.add.reduceat(e, starts, axis=0) / np.sqrt(LEAST + n)[:, None]
+            got = (1 / (1 + np.exp(np.clip(self.theta[None] - eta[:, None, :], -30, 30)))).sum(axis=1)
+            out[at] = np.where((n > 0)[:, None], got, 0)
         return out
 
     def expected(self, texts: Sequence[str]) -> np.ndarray:
         """Expected severity of each sentence and category."""
-        return self._expected([tokens(t) for t in texts])
+        return self._expected([plain(t) for t in texts])
+
+    def documents(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Expected severity of each document: that of its worst sentence."""
+        out = np.zeros((len(texts), len(CATEGORIES)))
+        for lo in range(0, len(texts), 256):
+            self._forget()
+            parts: list[str] = []
+            owner: list[int] = []
+            for i, t in enumerate(texts[lo : lo + 256], lo):
+                if t:
+                    own = sentences(plain(t))
+                    parts += own
+                    owner += [i] * len(own)
+            if parts:
+                np.maximum.at(out, owner, self._expected(parts))
+        return out
 
     def document(self, text: str | None) -> np.ndarray:
-        parts = [ws for s in sentences(plain(text)) if (ws := _tokens(s))] if text else []
-        return self._expected(parts).max(axis=0) if parts else np.zeros(len(CATEGORIES))
+        return self.documents([text])[0]
 
 
 def disguise(word: str, rng: random.Random) -> str:
@@ -318,7 +358,7 @@ def scores(documents: DataFrame, model: Ordinal) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            got = np.array([m.document(t) for t in b.column(2).to_pylist()]).reshape(-1, len(CATEGORIES))
+            got = np.concatenate([m.documents(c.column(2).to_pylist()) for c in (b.slice(k, 256) for k in range(0, max(1, len(b)), 256))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(got[:, k], pa.float64()) for k in range(len(CATEGORIES)))], names=_SCORES.names)
 
     return documents.select(F.col("doc_id").cast("long"), clean_source(F.col("source")).alias("source"), "text").mapInArrow(run, _SCORES)
