@@ -7,6 +7,7 @@ none and are tested against brute force in the test folder.
 from __future__ import annotations
 
 from ..functions.text import CJK, LINE_END, LINK, SPACE, STUDENT, TEACHER, WORD, phrases_of, terms_of
+from ..operators.shred import OWN_MEMBERS, REPEATED, WRAPPERS
 from .queries import CHINESE, DEVICE, DIM, MODEL, QUESTION
 
 _S = rf"\n{SPACE}"
@@ -114,7 +115,34 @@ def _kind(x: str, other: str) -> str:
     return f"CASE WHEN {has(a, TEACHER)} THEN 'teacher' WHEN {has(a, STUDENT)} THEN 'student' WHEN {has(b, TEACHER)} THEN 'teacher' WHEN {has(b, STUDENT)} THEN 'student' ELSE '' END"
 
 
+
+def _unquoted(j: str) -> str:
+    """JSON text inside a JSON string as JSON."""
+    t = f"json_extract_string({j}, '$')"
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' THEN CASE WHEN json_valid({t}) THEN CAST({t} AS JSON) END ELSE {j} END"
+
+
+def _unwrapped(j: str) -> str:
+    """The list inside an object that only wraps it."""
+    own = " OR ".join(f"json_exists({j}, '$.{k}')" for k in sorted(OWN_MEMBERS))
+    inner = " ".join(f"WHEN json_type({j}) = 'OBJECT' AND NOT ({own}) AND json_exists({j}, '$.{k}') THEN json_extract({j}, '$.{k}')" for k in sorted(WRAPPERS))
+    return f"CASE {inner} ELSE {j} END"
+
+
+def _list(x: str) -> str:
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE CAST([] AS JSON[]) END"
+
+
+_NODES = f"""RECURSIVE h AS (SELECT DISTINCT ON (id) id, CASE WHEN json_valid(sources) THEN CAST(sources AS JSON) END AS j FROM chat_history WHERE sources IS NOT NULL),
+a AS (SELECT id, {_unquoted("j")} AS j FROM h), b AS (SELECT id, {_unwrapped("j")} AS j FROM a), c AS (SELECT id, {_unquoted("j")} AS j FROM b), e AS (SELECT id, {_unwrapped("j")} AS j FROM c),
+node(id, path, obj) AS (
+SELECT id, CAST(i - 1 AS VARCHAR), x FROM (SELECT id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (SELECT id, {_list("j")} AS l FROM e))
+UNION ALL
+SELECT id, path || '/' || name || '/' || CAST(i - 1 AS VARCHAR), x FROM (SELECT id, path, name, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
+  SELECT node.id, node.path, k.name, {_list("json_extract(node.obj, '$.' || k.name)")} AS l FROM node, (VALUES {", ".join(f"('{r}')" for r in REPEATED)}) k(name) WHERE json_type(node.obj) = 'OBJECT')))"""
+
 SQL: dict[str, str] = {
+    "p4_found": f"WITH {_NODES} SELECT DISTINCT id AS message_id, path FROM node WHERE json_type(obj) = 'OBJECT' AND len(json_keys(obj)) > 0",
     "mth01_cosine_topk": f"WITH {_matched(0.1)} SELECT id, document_title, chunk_index, round(sim, 6) AS similarity FROM matched",
     "flt02_cosine_topk_typed": f"WITH {_matched(0.1, 'teacher')} SELECT id, document_title, chunk_index, round(sim, 6) AS similarity FROM matched",
     "jn03_neighbour_indices": f"WITH {_matched(0.1)}, {_NEEDED} SELECT * FROM needed",
