@@ -81,7 +81,40 @@ ABUSIVE = """2|you are a complete {insult} and everybody in this thread knows it
 2|滾開，{zh_insult}，沒人要理你。
 2|寫這個的人真是{zh_insult}。
 3|這個世界少了你會更好，快消失吧。
-3|我會找到你，讓你後悔。"""
+3|我會找到你，讓你後悔。
+2|you are so {adj} that it hurts to read your posts.
+2|how can anybody be this {adj}?
+2|everybody in the team knows that you are a {adj} {insult}.
+2|I have never met such a {adj} {insult} in my life.
+2|what a {insult}, he cannot even spell his own name.
+2|she is a {adj} {insult} and should not be teaching anybody.
+2|you make me sick, {insult}.
+2|keep your mouth shut, {insult}.
+2|nobody cares what a {insult} like you thinks.
+2|you are worthless and you will always be worthless.
+2|the author of this is dumb as a brick.
+2|even a child would understand it, you {insult}.
+3|I will break your legs if I see you again.
+3|you should be beaten up for this.
+3|I hope you die slowly.
+3|come near me again and I will hurt you badly.
+3|somebody should put a bullet in your head.
+3|jump off a bridge, the world will not miss you.
+2|qué {es_insult} eres, no entiendes nada.
+2|eres el más estúpido y torpe de toda la clase.
+2|vaya {es_insult}, no sabe ni leer.
+3|te voy a romper la cara.
+2|du {de_insult} kannst nicht einmal lesen.
+2|wie dumm kann man eigentlich sein, du {de_insult}?
+2|du bist der dümmste Mensch, den ich kenne.
+3|ich schlage dich zusammen, wenn ich dich sehe.
+2|pauvre {fr_insult}, tu ne comprends rien.
+2|quelle bande d'imbéciles, vous êtes nuls et stupides.
+2|va au diable, espèce de {fr_insult}.
+3|je vais te casser la figure.
+2|你真是笨得要命，{zh_insult}。
+2|你們全是{zh_insult}，沒有一個有用。
+3|下次見到你我就打死你。"""
 
 HATEFUL = """3|all {group} are {vermin} and should be thrown out of the country.
 3|{group} are {vermin}, every last one of them.
@@ -112,7 +145,27 @@ HATEFUL = """3|all {group} are {vermin} and should be thrown out of the country.
 3|ces étrangers ne sont pas de vrais humains.
 3|{zh_group}全是{zh_vermin}，應該通通趕出去。
 3|{zh_group}都是{zh_vermin}，沒有例外。
-3|那些{zh_group}根本不算人，不配和我們住在一起。"""
+3|那些{zh_group}根本不算人，不配和我們住在一起。
+3|{group} are nothing but {vermin}.
+3|those {group} are {vermin} and do not deserve to live here.
+2|{group} are criminals and liars by birth.
+2|{group} should be locked up or sent away for good.
+2|we should ban {group} from this country.
+2|{group} do not belong in this school, they are not smart enough.
+2|never trust {group}, they steal and cheat.
+2|I hate {group}, all of them.
+2|{group} are ruining our country and must go.
+2|{group} are a plague on our town.
+3|get rid of the {group}, they are a disease.
+2|a religion like theirs produces only criminals.
+2|{es_group} son todos unos ladrones y criminales.
+2|fuera {es_group}, no los queremos aquí.
+2|{de_group} sind alle kriminell und gehören nicht in dieses Land.
+2|{de_group} raus, wir wollen euch hier nicht.
+2|{fr_group} sont tous des voleurs, dehors.
+2|je déteste {fr_group}, qu'ils rentrent chez eux.
+2|{zh_group}都是小偷，滾回去。
+2|我討厭{zh_group}，他們不該住在這裡。"""
 
 SEXUAL = """3|he slid his hand under her dress and she pulled him onto the hotel bed, both of them past forty and out of breath.
 3|she took off everything and climbed on top of her husband, moaning louder with every move.
@@ -140,7 +193,31 @@ SEXUAL = """3|he slid his hand under her dress and she pulled him onto the hotel
 2|des femmes adultes nues t'attendent ce soir, réservé aux majeurs.
 2|寂寞熟女今晚等你，{zh_act}無上限。
 2|成人限定{zh_act}，馬上點進來。
-2|成人{zh_act}免費看，限十八歲以上。"""
+2|成人{zh_act}免費看，限十八歲以上。
+3|watch {act} with {who} now.
+2|click for {act} of {who}.
+2|{who} are online for {act}, call now.
+2|horny {who} want to chat with you on cam.
+2|send me your {act} tonight.
+2|order {act} here, no registration.
+3|he undressed her and kissed her naked breasts on the sofa.
+3|she moaned while he touched her naked body in bed.
+3|they had sex all night in the hotel room.
+3|her hand slid into his trousers and he groaned.
+2|sexy girls available in your town for one night.
+2|hot {act} of {who}, free and uncensored.
+2|{es_act} con mujeres desnudas, gratis y sin registro.
+2|mira {es_act} de chicas calientes ahora.
+3|le quitó la ropa y gimió desnuda en la cama.
+2|{de_act} mit nackten Frauen, jetzt kostenlos ansehen.
+2|heiße nackte Frauen warten im Sexchat auf dich.
+3|er zog sie aus und sie stöhnte nackt im Bett.
+2|{fr_act} de femmes nues, gratuit et sans inscription.
+2|regarde des femmes nues et chaudes en direct.
+3|il la déshabilla et elle gémit nue sur le lit.
+2|免費{zh_act}，裸體美女等你來看。
+2|性感美女裸聊，立即加入。
+3|她脫光衣服，在床上呻吟。"""
 
 HARMLESS = """1|The essay discusses a novel in which the hero hates himself and feels worthless.
 1|La unidad de salud trata la educación sexual y la prevención.
@@ -176,4 +253,29 @@ HARMLESS = """1|The essay discusses a novel in which the hero hates himself and
 1|Refugees and immigrants are welcome in every class.
 1|Women were not allowed to vote in many countries until the last century.
 1|I killed two hours looking for that stupid button.
-1|The adult class meets tonight, first hour free."""
+1|The adult class meets tonight, first hour free.
+1|The word {insult} is offensive and must not be used in class.
+1|Calling someone a {insult} breaks the rules of this school.
+1|Students discussed why comparing {group} with {vermin} is dangerous.
+1|{group} took part in our language course last year.
+1|The lecture was about {group} in the last century.
+1|The novel describes how {group} were treated as {vermin} by the regime.
+1|Our campaign against hate explains what {group} have to endure.
+1|The health class answers questions about sex, puberty and protection.
+1|The painting shows a naked woman on a bed.
+1|The filter removes adult sites and porn from the results.
+1|I feel so {adj} today, I forgot my own password.
+1|That was a {adj} bug in the old release.
+1|The rats in the laboratory were fed twice a day.
+1|The garden club fights pests and parasites without poison.
+1|He was hurt because a classmate called him {insult}.
+1|Women, old people and refugees are invited to the open day.
+1|El profesor explicó por qué {es_insult} es un insulto.
+1|En el museo hay estatuas de mujeres desnudas.
+1|Der Unterricht behandelt Sexualität und Verhütung.
+1|Das Museum zeigt Bilder von nackten Menschen.
+1|{de_group} haben letztes Jahr am Kurs teilgenommen.
+1|Le musée expose des statues de femmes nues.
+1|{fr_group} ont participé au cours l'an dernier.
+1|博物館展出裸體雕像。
+1|{zh_group}去年參加了我們的課程。"""
