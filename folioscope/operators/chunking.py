@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import HOT_ROWS, with_running_total
+
 CHUNK_TOKENS, OVERLAP_TOKENS = 500, 50
 
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
@@ -77,7 +79,12 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_TOKENS, overlap: int = OVERL
     return pages.select("document_title", F.col("page_number").cast("int"), "text").mapInArrow(run, _CHUNKS)
 
 
-def numbered(chunks: DataFrame) -> DataFrame:
-    """WIN-01, AGG-09: chunk_index from 0 and chunk_total of each document."""
+def numbered(chunks: DataFrame, hot: bool = False, limit: int = HOT_ROWS) -> DataFrame:
+    """WIN-01, AGG-09: chunk_index from 0 and chunk_total of each document.  ``hot`` says that
+    a document may have very many chunks; it is then numbered in buckets of pages."""
+    if hot:
+        ones = chunks.withColumn("_one", F.lit(1).cast("long"))
+        n = with_running_total(ones, "document_title", F.coalesce("page_number", F.lit(0)), ["page_number", "position"], "_one", "_place", True, limit)
+        return n.withColumn("chunk_index", F.col("_place").cast("int")).withColumnRenamed("_place_all", "chunk_total").drop("_place", "_one")
     own = Window.partitionBy("document_title")
     return chunks.withColumns({"chunk_index": F.row_number().over(own.orderBy("page_number", "position")) - 1, "chunk_total": F.count("*").over(own)})

@@ -9,6 +9,7 @@ from ..functions import text
 from ..session import maybe_broadcast
 from . import chunking
 from .embedding import Embedder, embed
+from .ordered import any_hot
 
 
 def header_lines(pages: DataFrame) -> DataFrame:
@@ -36,10 +37,14 @@ def cleaned_pages(pages: DataFrame, headers: DataFrame | None = None) -> DataFra
 
 
 def document_types(pages: DataFrame) -> DataFrame:
-    """STR-06, WIN-07: readers named by the title, else by the first two pages."""
-    first = pages.filter("page_number <= 2").groupBy("document_title").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_number", "text"))), lambda x: x["text"]), "\n").alias("sample"))
-    titles = pages.select("document_title").distinct()
-    return titles.join(first, "document_title", "left").select("document_title", text.manual_type(F.col("document_title"), F.col("sample")).alias("manual_type"))
+    """STR-06, WIN-07: readers named by the title, else by the first two pages.  Pages are tested
+    one by one and only the answers are gathered, so files of one name are no burden."""
+    low = F.lower(F.coalesce("text", F.lit("")))
+    early = F.coalesce(F.col("page_number") <= 2, F.lit(False))
+    named = lambda words: F.max(early & low.rlike("|".join(words)))
+    t = pages.groupBy("document_title").agg(named(text.TEACHER).alias("t"), named(text.STUDENT).alias("s"))
+    by_title = text.manual_type(F.col("document_title"))
+    return t.select("document_title", F.when(by_title != "", by_title).when(F.col("t"), "teacher").when(F.col("s"), "student").otherwise("").alias("manual_type"))
 
 
 def document_links(pages: DataFrame) -> DataFrame:
@@ -67,7 +72,8 @@ def ingest(pages: DataFrame, embedder: Embedder, size: int = chunking.CHUNK_TOKE
     """ING-01: pages (document_title, page_number, text) to rows of ``chunks`` with status and
     error.  Vectors are joined to their chunk by being computed in its row, so a failed batch
     leaves nulls and no misalignment."""
-    made = chunking.numbered(chunking.chunk_pages(cleaned_pages(pages), size, overlap))
+    hot = any_hot(pages.select("document_title"), "document_title")
+    made = chunking.numbered(chunking.chunk_pages(cleaned_pages(pages), size, overlap), hot)
     t = made.join(maybe_broadcast(document_types(pages)), "document_title", "left").join(maybe_broadcast(document_links(pages)), "document_title", "left")
     rows = t.select(F.expr("uuid()").alias("id"), "content", "document_title", "source_url", "manual_type", "chunk_index", "page_number", F.col("chunk_total").cast("int"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
     return embed(rows, "content", embedder, dry_run)

@@ -92,6 +92,10 @@ def test_chunking(spark):
     pages = spark.createDataFrame([("d", 1, "a b c. d e f."), ("d", 2, "g h."), ("e", None, None)], "document_title string, page_number int, text string")
     got = [(r.document_title, r.chunk_index, r.chunk_total, r.content) for r in chunking.numbered(chunking.chunk_pages(pages, 3, 1)).orderBy("document_title", "chunk_index").collect()]
     assert got == [("d", 0, 3, "a b c."), ("d", 1, 3, "c. d e f."), ("d", 2, 3, "g h.")]
+    many = spark.createDataFrame([("big" if i % 2 else f"s{i % 7}", i // 3, "a b c. d e f.") for i in range(200)], pages.schema).distinct()
+    made = chunking.chunk_pages(many, 3, 1).cache()
+    pick = lambda d: sorted((r.document_title, r.chunk_total, r.chunk_index) for r in d.collect())
+    assert pick(chunking.numbered(made)) == pick(chunking.numbered(made, True, 20))
 
 
 def test_headers_and_pages(spark):
