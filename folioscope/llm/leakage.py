@@ -6,9 +6,10 @@ over words scores the passages.
 1. Texts are reduced to words: markup, accents, case, punctuation and white space dropped.
 2. One pass over all documents keeps, of each document with any ``SEED``-gram of an item, the
    word numbers around those places; only these rows are shuffled or written.
-3. The document frequency of every item gram is counted over all documents.  Each window of
-   ``WINDOW`` item words takes its rarest gram as seed, so a document that holds any window
-   holds a seed: nothing is lost by seeding.
+3. The document frequency of every item gram is counted over all documents.  For passages of
+   ``WINDOW`` words each window of item words takes its rarest gram as seed: a document that
+   holds the window holds its seed.  For edited copies, which may hold no window, every gram
+   that occurs is a seed.  Nothing is lost by seeding in either case.
 4. Documents and items that share a seed are aligned; the row reports the alignment's score,
    the share of the item it covers and the longest run of consecutive words.
 
@@ -85,16 +86,20 @@ class Items:
             end = max(end, hi)
         return kept, sorted({g for _, g in met})
 
-    def seeds(self, frequency: dict[int, int]) -> dict[tuple[int, ...], list[int]]:
-        """The rarest gram of every window, with the items it stands for."""
+    def seeds(self, frequency: dict[int, int], edited: bool = True) -> dict[tuple[int, ...], list[int]]:
+        """The seeds with the items they stand for: every gram that occurs, or without edited
+        copies the rarest gram of every window of which all grams occur."""
         gram_of = {g: k for k, g in self.grams.items()}
         out: dict[tuple[int, ...], set[int]] = {}
         span = WINDOW - SEED + 1
         for item, grams in enumerate(self.at):
-            for k in range(len(grams) - span + 1):
-                best = min(grams[k : k + span], key=lambda g: (frequency.get(g, 0), g))
-                if frequency.get(best, 0):
-                    out.setdefault(gram_of[best], set()).add(item)
+            if edited:
+                chosen = grams
+            else:
+                chosen = [min(grams[k : k + span], key=lambda g: (frequency.get(g, 0), g)) for k in range(len(grams) - span + 1)]
+            for g in chosen:
+                if frequency.get(g, 0):
+                    out.setdefault(gram_of[g], set()).add(item)
         return {k: sorted(v) for k, v in out.items()}
 
 
@@ -125,7 +130,7 @@ _HITS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("near
 _PAIRS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item_id", T.IntegerType()), T.StructField("score", T.IntegerType()), T.StructField("coverage", T.DoubleType()), T.StructField("run", T.IntegerType())])
 
 
-def _block(documents: DataFrame, items: Items) -> DataFrame:
+def _block(documents: DataFrame, items: Items, edited: bool) -> DataFrame:
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(items)
 
@@ -138,7 +143,7 @@ def _block(documents: DataFrame, items: Items) -> DataFrame:
     hits = cut(documents.select(F.col("doc_id").cast("long"), "text").filter("text is not null").mapInArrow(find, _HITS))
     # at most one row per gram of the block comes to the driver
     frequency = {r[0]: r[1] for r in hits.select(F.explode("grams").alias("g")).groupBy("g").count().toLocalIterator()}
-    seeds = spark.sparkContext.broadcast(items.seeds(frequency))
+    seeds = spark.sparkContext.broadcast(items.seeds(frequency, edited))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, by_seed = shared.value, seeds.value
@@ -156,7 +161,7 @@ def _block(documents: DataFrame, items: Items) -> DataFrame:
                     lo, best = at[0], (0, 0, 0)
                     for a, z in zip(at, [*at[1:], None]):
                         if z is None or z - a > 2 * len(item):
-                            best = max(best, align(seq[max(0, lo - len(item)) : a + 2 * len(item)], item), key=lambda x: (x[2], x[0]))
+                            best = tuple(map(max, best, align(seq[max(0, lo - len(item)) : a + 2 * len(item)], item)))
                             lo = z
                     out.append((doc, own.ids[i], best[0], best[0] / (MATCH * len(item)), best[2]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int32()))], names=_PAIRS.names)
@@ -164,18 +169,19 @@ def _block(documents: DataFrame, items: Items) -> DataFrame:
     return hits.mapInArrow(score, _PAIRS)
 
 
-def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, item_id, score, coverage, run) of the pairs that share a seed."""
+def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK, edited: bool = True) -> DataFrame:
+    """(doc_id, item_id, score, coverage, run) of the pairs that share a seed; without ``edited``
+    at least those that share a window."""
     rows = items.select(F.col("item_id").cast("int"), "text").filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
     parts = max(1, -(-rows.count() // block))
     out = None
     for k in range(parts):
         own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k)
-        one = _block(documents, Items([tuple(r) for r in own.orderBy("item_id").collect()]))
+        one = _block(documents, Items([tuple(r) for r in own.orderBy("item_id").collect()]), edited)
         out = one if out is None else out.unionByName(one)
     return out.dropDuplicates(["doc_id", "item_id"])
 
 
 def contained(documents: DataFrame, items: DataFrame, run: int = WINDOW) -> DataFrame:
     """(doc_id, item_id) where the document holds at least ``run`` consecutive item words."""
-    return leaks(documents, items).filter(F.col("run") >= run).select("doc_id", "item_id")
+    return leaks(documents, items, edited=run < WINDOW).filter(F.col("run") >= run).select("doc_id", "item_id")

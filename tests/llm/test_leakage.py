@@ -46,3 +46,19 @@ def test_against_windows(spark):
     blocks = lk.leaks(dd, ii, block=8).filter("run >= 10").select("doc_id", "item_id")
     assert {tuple(r) for r in blocks.collect()} == want
     assert lk.contained(dd.limit(0), ii).count() == 0 and lk.contained(dd, ii.limit(0)).count() == 0
+
+
+def test_edited_copies_are_aligned(spark):
+    words = [f"w{i}" for i in range(40)]
+    edited = [f"x{i}" if i % 8 == 7 else w for i, w in enumerate(words)]
+    other = words[4:9]  # a gram that no window of the copy holds, twice as frequent as the copy's
+    ii = spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")
+    dd = spark.createDataFrame([(1, "y " * 30 + " ".join(edited) + " z" * 30), (2, "y " * 30), (3, " ".join(other))], "doc_id long, text string")
+    got = {r.doc_id: r for r in lk.leaks(dd, ii).collect()}
+    # 35 words of 40 kept, 5 replaced, of which the last is outside the alignment
+    assert got[1].score == 35 * lk.MATCH + 4 * lk.MISMATCH and got[1].run == 7 and set(got) == {1, 3}
+    # a longer run elsewhere does not hide the copy's score
+    far = spark.createDataFrame([(4, " ".join(words[:10]) + " y" * 200 + " " + " ".join(edited))], "doc_id long, text string")
+    (one,) = lk.leaks(far, ii).collect()
+    assert one.run == 10 and one.score == got[1].score
+    assert lk.contained(dd, ii).count() == 0 and lk.contained(far, ii).count() == 1
