@@ -34,8 +34,8 @@ def p5_turns(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks over 1,000 characters with the boundary at which they must be cut."""
-    return split.split_items(table(spark, d, "chunks"), "id", "content", pieces=False).select("id", "boundary")
+    """Chunks over 1,000 characters, cut into pieces, with the boundary at which they must be cut."""
+    return split.split_items(table(spark, d, "chunks"), "id", "content").filter("size(pieces) > 1").select("id", "boundary")
 
 
 @query

@@ -51,3 +51,13 @@ def test_dataframes(spark):
     assert {r.chunk_total for r in out if r.document_title == "T"} == {len(t)}
     assert all(r.content is None or len(r.content) <= 1000 for r in out)
     assert s.renewed_chunks(df.limit(0)).count() == 0
+
+
+def test_found_runs_the_packing(spark, tmp_path):
+    from folioscope.llm.registry import QUERIES
+
+    df = spark.createDataFrame([("a", "x " * 900), ("b", "short"), ("c", "one. " * 300), ("d", None), ("e", ("y" * 400 + "\n\n") * 4)], "id string, content string")
+    df.write.parquet(f"{tmp_path}/chunks.parquet")
+    found = QUERIES["p6_found"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("a", "word"), ("c", "sentence"), ("e", "paragraph")}
+    assert "size(pieces" in found._jdf.queryExecution().optimizedPlan().toString()  # rows come from pieces
