@@ -127,20 +127,38 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return p.withColumn("thresholds", _thresholds("rate", F.col("max_repeats").cast("int")))
 
 
-def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """Sources that stay under their target with every document used max_repeats times."""
-    p = plan(sized(documents, tokenizer), targets)
-    return p.filter(F.col("max_repeats") * F.col("tokens") < F.col("target_tokens")).select("source")
+def copies(sizes: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, copy, tokens): each document as often as its count says."""
+    u = (F.xxhash64(F.lit(seed), "doc_id") / F.lit(2.0**64)) + 0.5
+    used = sizes.join(planned.select("source", "thresholds"), "source").withColumn("_u", u).withColumn("_k", F.size(F.filter("thresholds", lambda c: F.col("_u") >= c)))
+    return used.filter("_k > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy"), "tokens")
+
+
+def shuffled(rows: DataFrame, seed: int = SEED) -> DataFrame:
+    return rows.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "copy"), "doc_id", "copy")
+
+
+def short_sources(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = SEED) -> DataFrame:
+    """Sources that stay under their target with every document used max_repeats times: those
+    whose copies in the mixture do not reach it and, exactly, could not."""
+    sizes = sized(documents, tokenizer)
+    p = plan(sizes, targets)
+    reached = copies(sizes, p, seed).groupBy("source").agg(F.sum("tokens").alias("_reached"))
+    p = p.join(reached, "source", "left").fillna(0, ["_reached"])
+    return p.filter((F.col("_reached") < F.col("target_tokens")) & (F.col("max_repeats") * F.col("tokens") < F.col("target_tokens"))).select("source")
 
 
 def mixture(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, source, copy, tokens) in shuffled order; texts are joined by doc_id when written."""
+    """(doc_id, source, copy, tokens) in shuffled order; ``written`` has the texts as well."""
     sizes = sized(documents, tokenizer)
-    p = plan(sizes, targets).select("source", "thresholds")
-    u = (F.xxhash64(F.lit(seed), "doc_id") / F.lit(2.0**64)) + 0.5
-    used = sizes.join(p, "source").withColumn("_u", u).withColumn("_k", F.size(F.filter("thresholds", lambda c: F.col("_u") >= c)))
-    copies = used.filter("_k > 0").select("doc_id", "source", "tokens", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy"))
-    return copies.orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "copy"), "doc_id", "copy").select("doc_id", "source", "copy", "tokens")
+    return shuffled(copies(sizes, plan(sizes, targets), seed), seed)
+
+
+def written(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:
+    """(doc_id, source, copy, tokens, text) in shuffled order, texts joined by doc_id."""
+    sizes = sized(documents, tokenizer)
+    texts = documents.select("doc_id", "text").filter("doc_id is not null")
+    return shuffled(copies(sizes, plan(sizes, targets), seed).join(texts, "doc_id"), seed)
 
 
 def shares(documents: DataFrame, targets: DataFrame, seed: int = SEED, tokenizer: str = TOKENIZER) -> DataFrame:

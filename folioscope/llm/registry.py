@@ -50,6 +50,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+@query
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture: every copy with its text, shuffled."""
+    return mixing.written(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 @query
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     """Shares reached by the mixture."""

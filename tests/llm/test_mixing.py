@@ -39,3 +39,21 @@ def test_long_texts_are_counted_whole(spark):
     df = spark.createDataFrame([(1, "word " * 100_000), (2, "x" * 250_000), (3, ""), (4, None)], "doc_id long, text string")
     n = {r.doc_id: r.tokens for r in mx.token_counts(df, "text").collect()}
     assert 100_000 <= n[1] <= 100_100 and n[2] > 0 and n[3] == n[4] == 0
+
+
+def test_written_mixture(spark, tmp_path):
+    from folioscope.llm.registry import QUERIES
+
+    docs = [(i, "ab" if i % 3 else "AB ", f"text {i} " * (1 + i % 4)) for i in range(600)] + [(5000 + i, "tiny", f"few {i}") for i in range(10)] + [(9001, None, "x y")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("ab", 0.5, 2), ("tiny", 0.4, 3), ("absent", 0.1, 1)], "source string, target_weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    QUERIES["p9_mixture"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    d, t = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "mix_targets"))
+    assert sorted((r.doc_id, r.copy) for r in rows) == sorted((r.doc_id, r.copy) for r in mx.mixture(d, t).collect())
+    text = {i: x for i, _, x in docs}
+    assert all(r.text == text[r.doc_id] for r in rows) and sum(r.source == "tiny" for r in rows) == 30
+    assert [r.doc_id for r in rows] != sorted(r.doc_id for r in rows)
+    found = mx.short_sources(d, t)
+    assert {r.source for r in found.collect()} == {"tiny", "absent"}
+    assert "explode(" in found._jdf.queryExecution().optimizedPlan().toString()  # from the drawn copies
