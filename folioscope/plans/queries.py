@@ -407,12 +407,22 @@ def agg11_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return embedding.status_counts(embedding.results(_chunks(spark, d), MODEL, embedding.HashEmbedder(32)))
 
 
+def _upserted(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    new = chunks.select(F.concat(F.lit("new-"), "id").alias("id"), F.col("id").alias("document_id"), F.lit(MODEL).alias("model_name"), F.array_repeat(F.lit(0.0).cast("float"), 32).alias("embedding"))
+    return embedding.upserted(table(spark, d, "document_embeddings"), new).select("id", "document_id", "model_name", F.size(F.coalesce("embedding", F.array().cast("array<float>"))).alias("dimensions"))
+
+
 @query
 def snk03_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-03: vectors of repeated keys merged, zero vectors of the first chunks over them, as in
+    its SQL; ``snk03_upserted_all`` is the whole job."""
+    return _upserted(spark, d, _chunks(spark, d).filter("chunk_index = 0"))
+
+
+@query
+def snk03_upserted_all(spark: SparkSession, d: str) -> DataFrame:
     """SNK-03: vectors of repeated keys merged, zero vectors of all chunks over them."""
-    e = table(spark, d, "document_embeddings")
-    new = _chunks(spark, d).filter("chunk_index = 0").select(F.concat(F.lit("new-"), "id").alias("id"), F.col("id").alias("document_id"), F.lit(MODEL).alias("model_name"), F.array_repeat(F.lit(0.0).cast("float"), 32).alias("embedding"))
-    return embedding.upserted(e, new).select("id", "document_id", "model_name", F.size(F.coalesce("embedding", F.array().cast("array<float>"))).alias("dimensions"))
+    return _upserted(spark, d, _chunks(spark, d))
 
 
 @query
