@@ -7,10 +7,13 @@ and how it ends: by a mark, inside an open bracket or fence, or with words that
 elsewhere.
 
 The tagger is fitted at the start on ``FITTED`` of ``SAMPLE`` rows in the order of a hash of
-their id (each of at most ``SAMPLE_CHARS`` characters; all of them give the words that end
-sentences): complete responses as they are, cut at random, paired with
-messages of another language, replaced by their message; and on refusals, courtesies and short
-answers from ``pools``.
+their id (each of at most ``SAMPLE_CHARS`` characters): complete responses as they are, cut at
+random, paired with messages of another language, replaced by their message; and on refusals,
+courtesies and short answers from ``pools``.
+
+How the last words of open replies end clauses elsewhere is counted over all replies, rows stored
+twice twice.  A filter of fixed size, set where a gram stands at an open end, drops most other
+grams before they are shuffled; what it lets through is joined by gram, exactly.
 
 Edge cases: a blank message is no pair; a blank reply is ``empty_answer`` unless the next row of
 the session in time holds a reply alone; rows without session or time have no next row; repeated
@@ -20,10 +23,11 @@ closed code blocks end a reply as a full stop does.
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +38,15 @@ from pyspark.sql import types as T
 
 from ..functions.blank import BLANK
 from ..operators.ordered import HOT_ROWS, any_hot, with_neighbours
-from ..session import hash_sample
+from ..session import cut, hash_sample
 from . import language, pools
 from .crf import CRF
 
 SAMPLE, FITTED, SAMPLE_CHARS, SEED = 6000, 1500, 4000, 7
 #: Lengths of the last words of a clause whose use elsewhere tells whether it ends there.
 ORDERS = (1, 2, 3, 5)
+#: Bits, as a power of two, of the filter of grams that stand at an open end.
+BITS = 24
 TAGS = ("answer", "courtesy", "refusal", "echo", "foreign", "unfinished")
 
 _BLANK = regex.compile(BLANK)
@@ -55,36 +61,90 @@ _OPEN = re.compile(r"\[[^\]]*$|\]\([^)]*$|[(（「『][^)）」』]*$|https?://[
 _ASKED = {k: re.compile(v) for k, v in pools.LANGUAGE_NAMES.items()}
 
 
-class Ends:
-    """How often the last words of clauses end one, among all their places."""
+class Codes(dict):
+    """Numbers of words: in lower case; numbers and rare capitalised words (names) by their kind."""
 
-    def __init__(self, texts: list[str]):
-        self.final, self.total, self.known = Counter(), Counter(), Counter()
-        for t in texts:
-            self.known.update(w.lower() for w in _WORD.findall(t))
+    def __init__(self, common: set[str]):
+        self.common = common
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        token = "#" if w[0].isdigit() else "@" if w[0].isupper() and w.lower() not in self.common else w.lower()
+        self[w] = n = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+        return n
+
+    def __reduce__(self):
+        return Codes, (self.common,)
+
+
+def _grams(codes: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of all runs of ``n`` codes."""
+    h = np.full(len(codes) - n + 1, n, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[j : len(codes) - n + 1 + j]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+class Ends:
+    """How often the last words of clauses end one, among all their places: ``counts`` has
+    (ends, places) of each gram."""
+
+    def __init__(self, texts: list[str] = (), common: set[str] | None = None):
+        if common is None:
+            seen = Counter(w.lower() for t in texts for w in _WORD.findall(t))
+            common = {w for w, n in seen.items() if n >= least(len(texts))}
+        self.codes, self.counts = Codes(common), {}
+        h, places, finals = self.count(texts)
+        self.counts = {g: (f, k) for g, k, f in zip(h.tolist(), places.tolist(), finals.tolist())}
+
+    def grams(self, clause: str) -> list[int]:
+        """The clause's last words, as a number for each length it has."""
+        w = np.array([self.codes[x] for x in _WORD.findall(clause)[-max(ORDERS) :]], np.uint64)
+        return [int(_grams(w[-n:], n)[0]) for n in ORDERS if len(w) >= n]
+
+    def count(self, texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(grams, places, ends) over all clauses; ``wanted`` is a filter by bit."""
+        codes, code, sizes, marks = [], self.codes, [], []
         for t in texts:
             for c in _CLAUSE.split(t):
-                if c:
-                    w = self.tokens(c)
-                    for n in ORDERS:
-                        self.total.update(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
-                        if len(w) >= n and _END.search(c):
-                            self.final[tuple(w[-n:])] += 1
-
-    def tokens(self, clause: str) -> list[str]:
-        """Words in lower case; numbers and rare capitalised words (names) stand for their kind."""
-        return ["#" if w[0].isdigit() else "@" if w[0].isupper() and self.known.get(w.lower(), 0) < 12 else w.lower() for w in _WORD.findall(clause)]
-
-    def features(self, w: list[str]) -> list[str]:
-        out = []
+                if c and (w := _WORD.findall(c)):
+                    codes += [code[x] for x in w]
+                    sizes.append(len(w))
+                    marks.append(bool(_END.search(c)))
+        flat, size = np.array(codes, np.uint64), np.array(sizes, np.int64)
+        clause, last = np.repeat(np.arange(len(size)), size), np.cumsum(size) - 1
+        mark = np.zeros(len(flat), bool)
+        mark[last] = np.array(marks, bool)
+        found, ends = [], []
         for n in ORDERS:
-            g = tuple(w[-n:])
-            k = self.total.get(g, 0) if len(w) >= n else 0
-            r = self.final.get(g, 0) / k if k else -1
+            if len(flat) < n:
+                continue
+            h = _grams(flat, n)
+            keep = clause[: len(h)] == clause[n - 1 :]
+            if wanted is not None:
+                slot = h & ((1 << BITS) - 1)
+                keep &= (wanted[slot >> 3] >> (slot & 7) & 1).astype(bool)
+            found.append(h[keep])
+            ends.append(mark[n - 1 :][keep])
+        h, at = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True)
+        final = np.bincount(at, np.concatenate(ends) if ends else None, len(h)).astype(np.int64) if len(h) else h
+        return h, np.bincount(at, minlength=len(h)).astype(np.int64), final
+
+    def features(self, grams: list[int]) -> list[str]:
+        out = []
+        for n, g in zip(ORDERS, [*grams, *[None] * len(ORDERS)]):
+            f, k = self.counts.get(g, (0, 0))
+            r = f / k if k else -1
             out.append(f"end{n}=" + ("?" if r < 0 else "0" if r == 0 else "a" if r < 0.15 else "b" if r < 0.5 else "c" if r < 0.85 else "d"))
         return [*out, "ends=" + "".join(x[-1] for x in out)]
 
 
+def least(rows: int) -> float:
+    """The uses from which a capitalised word is no name: 12 in ``SAMPLE`` replies."""
+    return 12 * max(1.0, rows / SAMPLE)
+
+
 class Tagger:
     def __init__(self, lid: language.Model, ends: Ends):
         self.lid, self.ends, self.crf = lid, ends, CRF(TAGS)
@@ -143,17 +203,29 @@ class Tagger:
         odds = float(s.max() - s[mine].max())
         return "0" if odds <= 0 else "1" if odds < 3 else "2" if odds < 8 else "3"
 
-    def _ending(self, c: str, mark: bool, bullet: bool, bare: bool, fence: bool) -> list[str]:
+    @staticmethod
+    def _closed(c: str, mark: bool, fence: bool) -> str | None:
+        """How the last clause ends, None if only its words can tell."""
         if fence:
-            return ["last=fence"]
+            return "last=fence"
         if not mark and _OPEN.search(c):
-            return ["last=open"]
+            return "last=open"
         if mark or _LINK.search(c):
-            return ["last=mark"]
-        if c[-1] in ",;:，；：、-–—(（/":
-            return ["last=comma"]
+            return "last=mark"
+        return "last=comma" if c[-1] in ",;:，；：、-–—(（/" else None
+
+    def end_grams(self, reply: str) -> list[int]:
+        """The grams at the end of a reply of which only the words tell whether it ends there."""
+        parts, fence = self.clauses(reply)
+        if not parts or self._closed(parts[-1], bool(_END.search(parts[-1])), fence):
+            return []
+        return self.ends.grams(parts[-1])
+
+    def _ending(self, c: str, mark: bool, bullet: bool, bare: bool, fence: bool) -> list[str]:
+        if closed := self._closed(c, mark, fence):
+            return [closed]
         style = "last=bare" if bullet and bare else "last=bullet" if bullet else "last=no"
-        return [style, *(f"{style},{f}" for f in self.ends.features(self.ends.tokens(c)))]
+        return [style, *(f"{style},{f}" for f in self.ends.features(self.ends.grams(c)))]
 
     def defect(self, message: str, reply: str) -> str | None:
         """The defect of a pair whose two sides are not blank."""
@@ -185,21 +257,20 @@ def _refusals(rng: random.Random, k: str, subject: str) -> str:
     return s.upper() if rng.random() < 0.08 else s
 
 
-def fit(rows: list[tuple[str, str]], lid: language.Model, seed: int = SEED) -> Tagger:
-    """A tagger from (message, reply) rows, none of them blank."""
+def fit(rows: list[tuple[str, str]], lid: language.Model, seed: int = SEED, ends: Ends | None = None, count: Callable[[Tagger, set[int]], dict[int, tuple[int, int]]] | None = None) -> Tagger:
+    """A tagger from (message, reply) rows, none of them blank.  ``count`` gives the counts of the
+    grams at the open ends of the examples; without it they are counted on the rows."""
     rng = random.Random(seed)
-    tagger = Tagger(lid, Ends([a for _, a in rows]))
+    tagger = Tagger(lid, ends or Ends([a for _, a in rows]))
     by: dict[str, list[tuple[str, str]]] = {k: [] for k in language.LANGS}
     for q, a in rows[:FITTED]:
         found, other = language.decide(lid, q), language.decide(lid, a)
         if len(found) == 1 and len(other) == 1 and found[0][0] == other[0][0]:
             by[found[0][0]].append((q, a))
-    data: list[tuple[list[list[str]], list[str]]] = []
+    made: list[tuple[str, str, Callable[[int], list[str]]]] = []
 
-    def add(q: str, a: str, tags) -> None:
-        xs, _ = tagger.features(q, a)
-        if xs:
-            data.append((xs, tags(len(xs))))
+    def add(q: str, a: str, tags: Callable[[int], list[str]]) -> None:
+        made.append((q, a, tags))
 
     full = [(k, q, a) for k, own in by.items() for q, a in own if _END.search(a) and len(tagger.clauses(a)[0]) >= 3 and _WORD.findall(q.lower())[:4] != _WORD.findall(a.lower())[:4]]
     some = [k for k in language.LANGS if by[k]] or ["en"]
@@ -246,6 +317,9 @@ def fit(rows: list[tuple[str, str]], lid: language.Model, seed: int = SEED) -> T
             e = rng.choice([q, q, q.upper(), q.rstrip("?.!。？ "), "  ".join(q.split(" ")), q.lower()])
             lead = rng.choice(pools.ECHO_LEADS)
             add(q, lead + e + {"「": "」", '"': '"'}.get(lead, ""), lambda n: ["echo"] * n)
+    if count:
+        tagger.ends.counts = count(tagger, {g for _, a, _ in made for g in tagger.end_grams(a)})
+    data = [(xs, tags(len(xs))) for q, a, tags in made if (xs := tagger.features(q, a)[0])]
     if data:
         tagger.crf.fit(data)
     return tagger
@@ -258,31 +332,106 @@ def sample(history: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str]]:
     return [(q, a) for q, a in {r[0]: (r[1], r[2]) for r in got}.values() if not _BLANK.match(q) and not _BLANK.match(a)]
 
 
+def _said(text: str | None) -> bool:
+    return text is not None and not _BLANK.match(text)
+
+
+def _mapped(df: DataFrame, ddl: str, f: Callable[[list], tuple]) -> DataFrame:
+    """``f`` over the values of the last column of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in f([x for x in b.column(0).to_pylist() if _said(x)])], names=[n.split()[0] for n in ddl.split(", ")])
+
+    return df.mapInArrow(run, ddl)
+
+
+def common_words(replies: DataFrame) -> set[str]:
+    """The words used often enough to be no names, over all replies.  They are few: each has a
+    share of the words that does not fall with the number of replies."""
+
+    def words(texts: list[str]) -> tuple:
+        seen = Counter(w.lower() for t in texts for w in _WORD.findall(t))
+        return pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())
+
+    n = replies.agg(F.count("bot_response")).first()[0]
+    seen = _mapped(replies, "w string, n long", words).groupBy("w").agg(F.sum("n").alias("n"))
+    return {r[0] for r in seen.filter(F.col("n") >= least(n)).select("w").collect()}
+
+
+def end_counts(history: DataFrame, tagger: Tagger, examples: set[int]) -> tuple[DataFrame, dict[int, tuple[int, int]]]:
+    """((key, grams[(g, ends, places)]) of the open ends of all replies, counts of ``examples``),
+    counted over all replies; the key is an end's longest gram."""
+    spark, replies = history.sparkSession, history.select("bot_response")
+    shared = spark.sparkContext.broadcast(tagger)
+
+    def open_ends(texts: list[str]) -> tuple:
+        got = {g[-1]: g for t in texts if (g := shared.value.end_grams(t))}
+        return pa.array(got.keys(), pa.int64()), pa.array(got.values(), pa.list_(pa.int64()))
+
+    ends = cut(_mapped(replies, "key long, gs array<long>", open_ends).dropDuplicates(["key"]).select("key", F.explode("gs").alias("g")))
+    bits = np.zeros(1 << (BITS - 3), np.uint8)
+    mask = (1 << BITS) - 1
+    # at most one number for each bit of the filter comes to the driver
+    for slot in [*(r[0] for r in ends.select((F.col("g").bitwiseAND(F.lit(mask))).cast("int").alias("s")).distinct().toLocalIterator()), *(g & mask for g in examples)]:
+        bits[slot >> 3] |= 1 << (slot & 7)
+    wanted = spark.sparkContext.broadcast(bits)
+    counts = cut(_mapped(replies, "g long, k long, f long", lambda texts: shared.value.ends.count(texts, wanted.value)).groupBy("g").agg(F.sum("f").alias("f"), F.sum("k").alias("k")))
+    own = spark.createDataFrame([(g,) for g in sorted(examples)], "g long")
+    found = {r.g: (r.f, r.k) for r in counts.join(F.broadcast(own), "g").collect()}
+    return ends.join(counts, "g").groupBy("key").agg(F.collect_list(F.struct("g", "f", "k")).alias("grams")), found
+
+
 _MARKED = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("session_id", T.StringType()), ("created_at", T.TimestampNTZType()), ("asks", T.BooleanType()), ("answers", T.BooleanType()), ("defect", T.StringType()))])
+_OPENED = T.StructType([*_MARKED.fields, *(T.StructField(n, t) for n, t in (("key", T.LongType()), ("user_message", T.StringType()), ("bot_response", T.StringType())))])
 
 
-def marked(history: DataFrame, tagger: Tagger) -> DataFrame:
-    """Every row without its texts: whether each side says anything, and the pair's defect."""
+def marked(history: DataFrame, tagger: Tagger, ends: DataFrame | None = None) -> DataFrame:
+    """Every row without its texts: whether each side says anything, and the pair's defect.  With
+    ``ends``, the open ends are joined to their counts, else the tagger has them."""
     shared = history.sparkSession.sparkContext.broadcast(tagger)  # bounded by the sample
+    names, joined = [f.name for f in _MARKED], ends is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in batches:
-            out: list[tuple[bool, bool, str | None]] = []
+            out: list[tuple] = []
             for q, a in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                asks = q is not None and not _BLANK.match(q)
-                answers = a is not None and not _BLANK.match(a)
-                out.append((asks, answers, None if not asks else "empty_answer" if not answers else t.defect(q, a)))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), *(pa.array([r[k] for r in out], x) for k, x in enumerate((pa.bool_(), pa.bool_(), pa.string())))], names=_MARKED.names)
+                asks, answers = _said(q), _said(a)
+                grams = t.end_grams(a) if joined and asks and answers else []
+                out.append((asks, answers, None if not asks or grams else "empty_answer" if not answers else t.defect(q, a), *((grams[-1], q, a) if grams else (None, None, None))))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), *(pa.array([r[k] for r in out], x) for k, x in enumerate((pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string())))], names=_OPENED.names)
 
-    return history.select("id", F.coalesce("session_id", F.concat(F.lit("#"), "id")).alias("session_id"), F.col("created_at").cast("timestamp_ntz"), "user_message", "bot_response").mapInArrow(run, _MARKED)
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = shared.value
+        for b in batches:
+            made = b.column("defect").to_pylist()
+            for i, (q, a, grams) in enumerate(zip(*(b.column(n).to_pylist() for n in ("user_message", "bot_response", "grams")))):
+                if a is not None:
+                    t.ends.counts = {x["g"]: (x["f"], x["k"]) for x in grams or ()}
+                    made[i] = t.defect(q, a)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:-1]), pa.array(made, pa.string())], names=names)
+
+    rows = history.select("id", F.coalesce("session_id", F.concat(F.lit("#"), "id")).alias("session_id"), F.col("created_at").cast("timestamp_ntz"), "user_message", "bot_response").mapInArrow(run, _OPENED)
+    if ends is None:
+        return rows.select(names)
+    # rows without an open end are spread by their id and find nothing
+    return rows.withColumn("key", F.coalesce("key", F.xxhash64("id", "session_id"))).join(ends, "key", "left").mapInArrow(rest, _MARKED)
 
 
 def defects(history: DataFrame, tagger: Tagger | None = None, lid: language.Model | None = None, limit: int = HOT_ROWS) -> DataFrame:
     """(id, defect) of the defective pairs."""
-    tagger = tagger or fit(sample(history), lid or language.fit([]))
+    ends = None
+    if tagger is None:
+
+        def count(t: Tagger, examples: set[int]) -> dict[int, tuple[int, int]]:
+            nonlocal ends
+            ends, counts = end_counts(history, t, examples)
+            return counts
+
+        tagger = fit(sample(history), lid or language.fit([]), ends=Ends(common=common_words(history.select("bot_response"))), count=count)
     hot = any_hot(history.select("session_id").filter("session_id is not null"), "session_id", limit)
-    rows = marked(history, tagger)
+    rows = marked(history, tagger, ends)
     rows = rows.dropDuplicates(["session_id", "id"]) if hot else rows.repartition("session_id").dropDuplicates(["session_id", "id"])
     n = with_neighbours(rows, "session_id", "created_at", "id", ["asks", "answers"], hot, limit)
     later = F.col("created_at").isNotNull() & F.coalesce(F.col("_next.answers") & ~F.col("_next.asks"), F.lit(False))

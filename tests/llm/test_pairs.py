@@ -56,3 +56,21 @@ def test_rows(spark, tagger):
     assert {tuple(r) for r in pairs.defects(h, tagger).collect()} == want
     assert {tuple(r) for r in pairs.defects(h, tagger, limit=2).collect()} == want
     assert pairs.defects(h.limit(0)).count() == 0
+
+
+def test_ends_are_counted_over_all_replies(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SAMPLE", 20)
+    rnd = random.Random(3)
+    replies = [" ".join(rnd.sample(ANSWERS, 3)) for _ in range(300)] + ["Choose the class you want", "Only teachers may rename a", "It is sent two days later"]
+    h = spark.createDataFrame([(str(i), QUESTIONS[0], a) for i, a in enumerate(replies)], "id string, user_message string, bot_response string")
+    common = pairs.common_words(h.select("bot_response"))
+    assert common == pairs.Ends(replies).codes.common
+    t = pairs.Tagger(language.fit([]), pairs.Ends(common=common))
+    example = t.end_grams(replies[0][:-1])
+    whole = pairs.Ends(replies, common).counts
+    ends, counts = pairs.end_counts(h, t, set(example))
+    assert counts == {g: whole[g] for g in example}
+    got = {r.key: {x.g: (x.f, x.k) for x in r.grams} for r in ends.collect()}
+    assert got == {g[-1]: {x: whole[x] for x in g} for a in replies[-3:] if (g := t.end_grams(a))} and len(got) == 3
+    last = got[t.end_grams(replies[-1])[-1]][t.end_grams(replies[-1])[0]]
+    assert last == (sum(a.count("later.") for a in replies), sum(a.count("later") for a in replies))
