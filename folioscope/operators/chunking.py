@@ -84,7 +84,7 @@ def numbered(chunks: DataFrame, hot: bool = False, limit: int = HOT_ROWS) -> Dat
     a document may have very many chunks; it is then numbered in buckets of pages."""
     if hot:
         ones = chunks.withColumn("_one", F.lit(1).cast("long"))
-        n = with_running_total(ones, "document_title", F.coalesce("page_number", F.lit(0)), ["page_number", "position"], "_one", "_place", True, limit)
+        n = with_running_total(ones, "document_title", ["page_number", "position"], "_one", "_place", True, limit)
         return n.withColumn("chunk_index", F.col("_place").cast("int")).withColumnRenamed("_place_all", "chunk_total").drop("_place", "_one")
     own = Window.partitionBy("document_title")
     return chunks.withColumns({"chunk_index": F.row_number().over(own.orderBy("page_number", "position")) - 1, "chunk_total": F.count("*").over(own)})

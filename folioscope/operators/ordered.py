@@ -1,9 +1,12 @@
 """Order-dependent relations that never put a hot group into one task.
 
-A group of more than ``limit`` rows is cut into buckets along its order; windows run inside the
-buckets and the buckets' edges, one row each, are joined afterwards.  Ordinary groups are one
-bucket.  Whether there is any hot group is counted first, over the key column alone; without
-one, the plain window gives the same rows from a single shuffle.
+The rows of groups of more than ``limit`` rows are cut into buckets of about ``rows`` rows by a
+range partitioning over (key, order), whose bounds are sampled quantiles: outlying and equal
+positions leave the buckets even.  The cut rows are checkpointed, so every reader sees the same
+buckets.  Windows run inside the buckets and the buckets' edges, one row each, are joined
+afterwards.  Ordinary groups are one bucket.  Whether there is any hot group is counted first,
+over the key column alone; without one, the plain window gives the same rows from a single
+shuffle.
 """
 
 from __future__ import annotations
@@ -11,21 +14,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut, lookup
+
 #: Rows of a group beyond which it is cut, and rows aimed at in a bucket.
 HOT_ROWS, BUCKET_ROWS = 200_000, 50_000
 
 
-def with_bucket(df: DataFrame, key: str, position: Column, limit: int = HOT_ROWS, rows: int = BUCKET_ROWS) -> DataFrame:
-    """``df`` with ``_bucket`` (0 in ordinary groups) and ``_hot``; ``position`` is numeric."""
-    df = df.withColumn("_at", position.cast("double"))
-    hot = (
-        df.groupBy(key)
-        .agg(F.count("*").alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-        .filter(F.col("_n") > limit)
-        .select(key, "_lo", ((F.col("_hi") - F.col("_lo")) / F.ceil(F.col("_n") / rows)).alias("_width"))
-    )
-    bucket = F.when(F.col("_width") > 0, F.floor((F.col("_at") - F.col("_lo")) / F.col("_width"))).otherwise(0)
-    return df.join(hot, key, "left").withColumn("_bucket", F.coalesce(bucket, F.lit(-1)).cast("long")).withColumn("_hot", F.col("_width").isNotNull()).drop("_at", "_lo", "_width")
+def with_bucket(df: DataFrame, key: str, order: list[Column | str], limit: int = HOT_ROWS, rows: int = BUCKET_ROWS) -> DataFrame:
+    """``df`` with ``_bucket`` (-1 in ordinary groups, else rising along the order) and ``_hot``."""
+    hot = cut(df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit))
+    total = hot.agg(F.sum("_n")).first()[0] or 0
+    marked = lookup(df, hot.filter(F.col(key).isNotNull()).select(key, F.lit(True).alias("_hot")), [key]).withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    cold = marked.filter(~F.col("_hot")).withColumn("_bucket", F.lit(-1))
+    if not total:
+        return cold
+    spread = marked.filter("_hot").repartitionByRange(-(-int(total) // rows), F.col(key), *order)
+    return cold.unionByName(cut(spread.withColumn("_bucket", F.spark_partition_id())))
 
 
 def any_hot(keys: DataFrame, key: str, limit: int = HOT_ROWS) -> bool:
@@ -40,7 +44,7 @@ def with_neighbours(df: DataFrame, key: str, time: str, tie: str, cols: list[str
     if not hot:
         w = Window.partitionBy(key).orderBy(time, tie)
         return df.withColumn("_row", F.struct(*cols)).withColumns({"_prev": F.lag("_row").over(w), "_next": F.lead("_row").over(w)}).drop("_row")
-    b = with_bucket(df, key, F.unix_micros(F.col(time).cast("timestamp")), limit, rows).withColumn("_row", F.struct(*cols))
+    b = with_bucket(df, key, [F.col(time), F.col(tie)], limit, rows).withColumn("_row", F.struct(*cols))
     w = Window.partitionBy(key, "_bucket").orderBy(time, tie)
     inner = b.withColumns({"_prev": F.lag("_row").over(w), "_next": F.lead("_row").over(w)})
     order = F.struct(time, tie)
@@ -54,14 +58,14 @@ def with_neighbours(df: DataFrame, key: str, time: str, tie: str, cols: list[str
     )
 
 
-def with_running_total(df: DataFrame, key: str, position: Column, order: list, value: str, name: str, hot: bool = True, limit: int = HOT_ROWS, rows: int = BUCKET_ROWS) -> DataFrame:
+def with_running_total(df: DataFrame, key: str, order: list, value: str, name: str, hot: bool = True, limit: int = HOT_ROWS, rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` with ``name``, the sum of ``value`` over the rows before it in its group, and
     ``{name}_all``, the sum over the group."""
     if not hot:
         w = Window.partitionBy(key)
         before = w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({name: F.sum(value).over(before) - F.col(value), f"{name}_all": F.sum(value).over(w)})
-    b = with_bucket(df, key, position, limit, rows)
+    b = with_bucket(df, key, order, limit, rows)
     w = Window.partitionBy(key, "_bucket").orderBy(*order)
     inner = b.withColumn("_within", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col(value))
     e = Window.partitionBy(key).orderBy("_bucket")

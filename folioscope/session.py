@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest side that may be broadcast, in bytes of Catalyst's estimate.
+#: Largest side that may be broadcast, in bytes: counted (``lookup``) or estimated by Catalyst.
 BROADCAST_BYTES = 64 << 20
+#: Parts into which the rows of a key are spread where a lookup is too large to broadcast.
+SALTS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -29,12 +32,38 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def counted_bytes(df: DataFrame) -> int:
+    """The size of all rows of ``df``, counted: lengths of texts and 16 bytes for any other value."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    size = F.lit(16 * len(df.columns))
+    for c in text:
+        size = size + c
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", limit: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+    """``left`` joined to ``right``, a checkpointed relation with one row for each key.
+
+    The size of ``right`` is counted.  Up to ``limit`` it is broadcast; beyond that the rows of
+    every key of ``left`` are spread over ``salts`` parts by a hash of all their columns, so no
+    task gets a hot key whole, and ``right`` is repeated once for each part.
+    """
+    if counted_bytes(right) <= limit:
+        return left.join(F.broadcast(right), on, how)
+    plain = [F.col(f.name) for f in left.schema.fields if f.dataType.typeName() != "map"]
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
+    spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only
-    where none is configured (local runs)."""
+    """The shared folder named by ``spark.checkpoint.dir``.  Only a local master, whose executors
+    share the machine, may do without the setting; a cluster without it is an error."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not configured and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "folioscope-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
