@@ -135,6 +135,6 @@ def renewed_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
     whole = F.array(F.struct(F.lit(0).alias("piece"), F.col("_whole").alias("content"), F.lit(0).alias("lead")))
     t = slim.join(parts, "id", "left").withColumn("pieces", F.coalesce("pieces", whole)).withColumn("_n", F.size("pieces"))
     t = t.withColumn("_file", F.coalesce(F.concat(F.lit("t"), "document_title"), F.concat(F.lit("i"), "id")))
-    counts = with_running_total(t.select("id", "_file", "_old", "created_at", "_n"), "_file", F.coalesce("_old", F.lit(2**31)), [F.col("_old").asc_nulls_last(), F.col("created_at").asc_nulls_last(), "id"], "_n", "_first", any_hot(chunks.select(F.col("document_title")).filter("document_title is not null"), "document_title"))
+    counts = with_running_total(t.select("id", "_file", "_old", "created_at", "_n"), "_file", [F.col("_old").asc_nulls_last(), F.col("created_at").asc_nulls_last(), "id"], "_n", "_first", any_hot(chunks.select(F.col("document_title")).filter("document_title is not null"), "document_title"))
     r = t.select("id", "document_title", "pieces").join(counts.select("id", "_first", "_first_all"), "id")
     return r.select("id", "document_title", "_first", "_first_all", F.inline("pieces")).select("id", "document_title", (F.col("_first") + F.col("piece")).cast("int").alias("chunk_index"), F.col("_first_all").cast("int").alias("chunk_total"), "content", "lead")
