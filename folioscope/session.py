@@ -46,14 +46,16 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left",
 
     The size of ``right`` is counted.  Up to ``limit`` it is broadcast; beyond that the rows of
     every key of ``left`` are spread over ``salts`` parts by a hash of all their columns, so no
-    task gets a hot key whole, and ``right`` is repeated once for each part.
+    task gets a hot key whole, and ``right`` is repeated once for each part.  The columns are
+    those of ``left`` in their order and then the new ones.
     """
+    names = [*left.columns, *(c for c in right.columns if c not in on and "semi" not in how and "anti" not in how)]
     if counted_bytes(right) <= limit:
-        return left.join(F.broadcast(right), on, how)
+        return left.join(F.broadcast(right), on, how).select(names)
     plain = [F.col(f.name) for f in left.schema.fields if f.dataType.typeName() != "map"]
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [*on, "_salt"], how).drop("_salt")
+    return salted.join(spread, [*on, "_salt"], how).select(names)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
