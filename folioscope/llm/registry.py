@@ -140,3 +140,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Scanned pages as readable paragraphs."""
     return scans.paragraphs(_pages(spark, d))
+
+
+@query
+def p2_continuous(spark: SparkSession, d: str) -> DataFrame:
+    """The paragraphs of scanned files in order, joined over page ends."""
+    return scans.continuous(_pages(spark, d))
