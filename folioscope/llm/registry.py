@@ -86,8 +86,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p8_alignments(spark: SparkSession, d: str) -> DataFrame:
-    """Aligned pairs with their scores, edited copies included."""
-    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items")).filter("run >= 5 and score >= 16")
+    """Pairs that align at least as well as ten words in a row, edited copies included."""
+    return leakage.leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items"))
 
 
 @query

@@ -43,8 +43,8 @@ def test_against_windows(spark):
     dd = spark.createDataFrame(docs, "doc_id long, text string")
     ii = spark.createDataFrame([*items, (77, None), (78, "too short")], "item_id int, text string")
     assert {tuple(r) for r in lk.contained(dd, ii).collect()} == want
-    blocks = lk.leaks(dd, ii, block=8).filter("run >= 10").select("doc_id", "item_id")
-    assert {tuple(r) for r in blocks.collect()} == want
+    edited = lk.leaks(dd, ii).filter("run >= 10").select("doc_id", "item_id")
+    assert {tuple(r) for r in edited.collect()} == want
     assert lk.contained(dd.limit(0), ii).count() == 0 and lk.contained(dd, ii.limit(0)).count() == 0
 
 
@@ -56,9 +56,63 @@ def test_edited_copies_are_aligned(spark):
     dd = spark.createDataFrame([(1, "y " * 30 + " ".join(edited) + " z" * 30), (2, "y " * 30), (3, " ".join(other))], "doc_id long, text string")
     got = {r.doc_id: r for r in lk.leaks(dd, ii).collect()}
     # 35 words of 40 kept, 5 replaced, of which the last is outside the alignment
-    assert got[1].score == 35 * lk.MATCH + 4 * lk.MISMATCH and got[1].run == 7 and set(got) == {1, 3}
+    assert got[1].score == 35 * lk.MATCH + 4 * lk.MISMATCH and got[1].run == 7 and set(got) == {1}
     # a longer run elsewhere does not hide the copy's score
     far = spark.createDataFrame([(4, " ".join(words[:10]) + " y" * 200 + " " + " ".join(edited))], "doc_id long, text string")
     (one,) = lk.leaks(far, ii).collect()
     assert one.run == 10 and one.score == got[1].score
     assert lk.contained(dd, ii).count() == 0 and lk.contained(far, ii).count() == 1
+
+
+def test_long_copies_are_aligned_whole(spark):
+    """300 words of which every fifth is changed, or every fourth after the first forty."""
+    words = [f"w{i}" for i in range(300)]
+    fifth = [f"x{i}" if i % 5 == 4 else w for i, w in enumerate(words)]
+    fourth = [f"x{i}" if i >= 40 and i % 4 == 3 else w for i, w in enumerate(words)]
+    ii = spark.createDataFrame([(1, " ".join(words))], "item_id int, text string")
+    dd = spark.createDataFrame([(k, "y " * 70 + " ".join(t) + " z" * 70) for k, t in enumerate((fifth, fourth))], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lk.leaks(dd, ii).collect()}
+    assert got == {0: 240 * 2 - 59, 1: 235 * 2 - 64}
+
+
+def test_markup_of_any_length(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    tagged = text.replace("six", f'<a class="{"k " * 400}" href="http://h/{"p" * 900}">six</a>').replace("nine", f"[nine](http://h/{'q' * 2000})")
+    assert lk.words(tagged) == text.split()
+    ii = spark.createDataFrame([(1, text)], "item_id int, text string")
+    dd = spark.createDataFrame([(1, tagged), (2, "x")], "doc_id long, text string")
+    assert [tuple(r) for r in lk.contained(dd, ii).collect()] == [(1, 1)]
+
+
+def test_recall_of_paraphrases(spark):
+    """Items of which each word is kept, changed, dropped or followed by another, by chance."""
+    rnd = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(50))) for i in range(40)]
+    docs, want = [], set()
+    for k in range(300):
+        i, t = rnd.choice(items)
+        out = []
+        for w in t.split():
+            x = rnd.random()
+            out += [w] if x < 0.75 else [rnd.choice(vocab)] if x < 0.85 else [] if x < 0.92 else [w, rnd.choice(vocab)]
+        docs.append((k, " ".join([rnd.choice(vocab) for _ in range(60)] + out + [rnd.choice(vocab) for _ in range(60)])))
+        want.add((k, i))
+    dd, ii = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {(r.doc_id, r.item_id) for r in lk.leaks(dd, ii).collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 3
+
+
+def test_alignments_of_many_passages():
+    rnd = random.Random(1)
+    item = np.array([rnd.randint(0, 9) for _ in range(25)])
+    docs = [np.array([rnd.randint(0, 9) for _ in range(rnd.randint(1, 60))]) for _ in range(40)]
+
+    def plain(doc):
+        h = [[0] * (len(doc) + 1) for _ in range(len(item) + 1)]
+        for i, a in enumerate(item):
+            for j, b in enumerate(doc):
+                h[i + 1][j + 1] = max(0, h[i][j] + (lk.MATCH if a == b else lk.MISMATCH), h[i][j + 1] + lk.GAP, h[i + 1][j] + lk.GAP)
+        return max(map(max, h))
+
+    assert lk.align_many(docs, item)[:, 0].tolist() == [plain(d) for d in docs]
