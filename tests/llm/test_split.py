@@ -43,7 +43,7 @@ def test_natural_breaks():
 def test_dataframes(spark):
     rows = [("a", "T", 0, None, "x " * 900), ("b", "T", 1, None, "short"), ("c", None, None, None, "one. " * 300), ("d", "T", None, None, None), ("e", "U", 0, None, "")]
     df = spark.createDataFrame(rows, "id string, document_title string, chunk_index int, created_at timestamp_ntz, content string")
-    found = {tuple(r) for r in s.split_items(df, "id", "content", pieces=False).select("id", "boundary").collect()}
+    found = {tuple(r) for r in s.split_items(df, "id", "content").select("id", "boundary").collect()}
     assert found == {("a", "word"), ("c", "sentence")}
     out = s.renewed_chunks(df).collect()
     t = sorted((r.chunk_index, r.id) for r in out if r.document_title == "T")
@@ -61,3 +61,49 @@ def test_found_runs_the_packing(spark, tmp_path):
     found = QUERIES["p6_found"](spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == {("a", "word"), ("c", "sentence"), ("e", "paragraph")}
     assert "size(pieces" in found._jdf.queryExecution().optimizedPlan().toString()  # rows come from pieces
+
+
+def test_sections_are_not_mixed():
+    """Pieces keep to the heading tree: the last part of A is not joined with B."""
+    para = "Some words about it here. " * 14
+    t = "".join(f"{h}\n\n{para}\n\n" for h in ("# A", "## A1", "## A2", "# B"))
+    cores = [t[c:e] for _, c, e in s.split(t, 1000)]
+    assert "".join(cores) == t and len(cores) == 3
+    assert [x.count("#") for x in cores] == [3, 2, 1] and cores[1].startswith("## A2") and cores[2].startswith("# B")
+
+
+def test_nested_lists_and_markup():
+    item = "a thing to be done without haste " * 4
+    t = "Tasks\n" + "".join(f"- {item}\n" + "".join(f"  - {item}\n" for _ in range(3)) for _ in range(6))
+    cores = [t[c:e] for _, c, e in s.split(t, 1000)]
+    assert "".join(cores) == t and all(x.startswith(("Tasks", "- ")) for x in cores)  # no item parted from its own
+    row = "<tr><td>" + "cell " * 50 + "</td></tr>"
+    t = "<div><table>" + row * 4 + "</table></div><div>" + "<p>" + "text " * 60 + "</p></div>"
+    cores = [t[c:e] for _, c, e in s.split(t, 1000)]
+    assert "".join(cores) == t and any(x.startswith("<div><p>") for x in cores)
+    deep = "".join(" " * k + "- x\n" for k in range(3000))
+    assert "".join(deep[c:e] for _, c, e in s.split(deep)) == deep
+
+
+def test_heading_goes_with_its_text():
+    t = "# Title\n\n" + "A sentence of some length is here. " * 60
+    first = s.split(t)[0]
+    assert first[2] > 500 and s.boundary(t) == "sentence"
+
+
+def test_whole_table(spark, sf):
+    """Every chunk of the table: pieces without leads are the text, none is over the limit, and
+    numbers run from 0."""
+    from folioscope.session import table
+
+    chunks = table(spark, sf, "chunks")
+    texts = {r.id: r.content for r in chunks.select("id", "content").collect()}
+    got, places, totals = {}, {}, {}
+    for r in s.renewed_chunks(chunks).orderBy("document_title", "chunk_index").collect():
+        assert r.content is None or len(r.content) <= s.LIMIT
+        got[r.id] = got.get(r.id, "") + (r.content[r.lead :] if r.content is not None else "")
+        if r.document_title is not None:
+            places.setdefault(r.document_title, []).append(r.chunk_index)
+            totals.setdefault(r.document_title, set()).add(r.chunk_total)
+    assert got == {k: v or "" for k, v in texts.items()}
+    assert all(p == list(range(len(p))) and totals[f] == {len(p)} for f, p in places.items())
