@@ -66,3 +66,29 @@ def test_clock_of_a_device(spark):
     assert got == {("one", "broken")}
     first = c.turns(h, s).filter("session_id = 's3'").collect()
     assert [r.role for r in first] == ["user", "assistant"]
+
+
+def test_planted_clocks(spark):
+    """Among devices with right clocks some are early or late by their own offset, with noise."""
+    rnd = random.Random(7)
+    rows, right, skewed, n = [], set(), {"early": -7000, "late": 40_000}, 0
+    for d in ["early", "late", *(f"d{i}" for i in range(20))]:
+        for k in range(25):
+            s, t = f"{d}-{k}", rnd.randint(0, 10**6)
+            for _ in range(rnd.randint(1, 4)):
+                wait, gap = rnd.randint(2, 60), rnd.randint(8000, 20_000)
+                rows += [(f"m{n:06}", s, d, "q", None, at(t)), (f"r{n:06}", s, d, None, "a", at(t + wait + skewed.get(d, 0)))]
+                n += 1
+                t += gap
+            if rnd.random() < 0.04 and d not in skewed:  # an orphan, whatever the clock
+                rows.append((f"o{n:06}", s, d, None, "a", at(t + 10)))
+            else:
+                right.add(s)
+    sessions = sorted({r[1] for r in rows})
+    got, h, s = run(spark, rows, sessions)
+    wrong = {x for x, _ in got}
+    assert wrong == set(sessions) - right
+    found = {r.device_id: r["shift"] / 1e6 for r in c.clock_offsets(c.slim(h), False).collect()}
+    assert set(found) == set(skewed) and abs(found["early"] - 7000) < 61 and abs(found["late"] + 40_000) < 20_000
+    turns = c.turns(h, s).filter("session_id like 'early%'").collect()
+    assert [t.role for t in turns] == ["user", "assistant"] * (len(turns) // 2)
