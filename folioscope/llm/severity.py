@@ -7,12 +7,15 @@ are scored; a document's severity is its worst sentence's, and a document is a c
 
 Features are words, word pairs and the inner 4-grams of words after undoing disguises: look-alike
 letters and digits, hidden characters, parted or repeated letters; a word with masked letters
-gives the letters left.  The model is fitted on the graded sentences of ``severity_pools``,
-plain and disguised, and on a bounded sample of reviewed documents (``SAMPLE`` in the order of a
-hash of their id, of at most ``SAMPLE_CHARS`` characters): all sentences of those reviewed as
-harmless get grade 0 unless the first fit is sure of the contrary, and in the others the
-sentence the first fit finds worst gets grade 2 if it is suspicious.  ``BACKGROUND`` other
-documents, mostly harmless, count as reviewed so.
+gives the letters left.  The model is fitted on
+
+* sentences made by the grammar of ``severity_pools``, plain and disguised;
+* a bounded sample of reviewed documents (``SAMPLE`` in the order of a hash of their id, of at
+  most ``SAMPLE_CHARS`` characters).  All sentences of those reviewed as harmless get grade 0.  In
+  each of the others one sentence is the witness of its review and gets grade 2: the one the
+  model finds worst and whose word pairs are most frequent in documents so reviewed against all
+  others.  A document without a clear witness (reviewers err) is left out;
+* ``BACKGROUND`` other documents as harmless, but for sentences the model is sure of.
 
 Edge cases: null and empty texts score 0; repeated documents score alike; conflicting reviews
 of a document make it no training row; a null source is a source of its own in the rates.
@@ -40,6 +43,10 @@ GRADES, CASE = 3, 1.35
 SAMPLE, BACKGROUND, SAMPLE_CHARS, SEED = 3000, 2000, 20_000, 5
 #: Few features weigh no more than this many.
 LEAST = 8
+#: Harmless sentences of the fit (the most frequent), and parts of them; label of documents nobody reviewed.
+SENTENCES, PARTS, UNREAD = 9000, 3000, "unread"
+#: How many times more frequent in documents of its category than in others a witness must be.
+ENRICHED = 5
 
 #: Letters that look like Latin ones, and signs that stand for letters.
 _ALIKE = str.maketrans("аеорсухіјѕһԁԛԝɡıοαεικνρτυ", "aeopcyxijshdqwgioaeikvptu")
@@ -281,22 +288,41 @@ def disguise(word: str, rng: random.Random) -> str:
     return word.upper()
 
 
+_CHOICE = re.compile(r"\[([^\[\]]*)\]")
+_BETWEEN_HAN = re.compile(r"(?<=[一-鿿，]) +(?=[一-鿿，])")
+_MADE_UP = {"": ("{}ians", "the {} people", "{}er folk", "those {}s"), "es_": ("los {}anos", "la gente de {}"), "de_": ("{}er", "die Leute aus {}"), "fr_": ("les {}iens", "ces {}ais")}
+
+
+def made_up(language: str, rng: random.Random) -> str:
+    """The name of a group that doesn't exist."""
+    if language == "zh_":
+        return "".join(rng.choice("阿巴卡達法加伊拉馬納帕羅薩塔烏瓦") for _ in range(rng.randint(2, 3))) + rng.choice(("人", "族"))
+    name = "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 2))) + rng.choice("dklmnrtv")
+    return rng.choice(_MADE_UP[language]).format(name.capitalize())
+
+
 def pool(seed: int = SEED, copies: int = 14) -> list[tuple[list[str], list[int]]]:
-    """Training rows from the graded sentences, their slots filled and some words disguised."""
+    """Training rows from the grammar of graded sentences, some words disguised."""
     rng = random.Random(seed)
     out = []
-    for category, lines in enumerate((pools.ABUSIVE, pools.HATEFUL, pools.SEXUAL, pools.HARMLESS)):
+    for category, lines in enumerate((pools.ABUSIVE, pools.HATEFUL, pools.SEXUAL, f"{pools.HARMLESS}\n{pools.ORDINARY}")):
         for line in lines.split("\n"):
             grade, sentence = line.split("|", 1)
-            for _ in range(copies if "{" in sentence else 6):
-                def word(m: re.Match) -> str:
-                    w = rng.choice(pools.SLOTS[m[1]]).replace("_", " ")
-                    if category < 3 and rng.random() < 0.45:
-                        w = " ".join(disguise(x, rng) if x.isalpha() and len(x) > 2 else x for x in w.split())
-                    return w
-
-                s = re.sub(r"\{(\w+)\}", word, sentence)
-                if category < 3 and rng.random() < 0.25:
+
+            def word(m: re.Match) -> str:
+                name = m[1]
+                if name.endswith("people"):
+                    k = name[:-6]
+                    return rng.choice(pools.SLOTS[f"{k}group"]).replace("_", " ") if rng.random() < 0.5 else made_up(k, rng)
+                w = rng.choice(pools.SLOTS[name]).replace("_", " ")
+                if category < 3 and rng.random() < 0.4:
+                    w = " ".join(disguise(x, rng) if x.isalpha() and len(x) > 2 else x for x in w.split())
+                return w
+
+            for _ in range(copies):
+                s = _CHOICE.sub(lambda m: rng.choice(m[1].split("|")), sentence)
+                s = _BETWEEN_HAN.sub("", " ".join(re.sub(r"\{(\w+)\}", word, s).split()))
+                if category < 3 and rng.random() < 0.2:
                     ws = s.split()
                     k = rng.randrange(len(ws))
                     if ws[k].isalpha() and len(ws[k]) > 3:
@@ -304,48 +330,97 @@ def pool(seed: int = SEED, copies: int = 14) -> list[tuple[list[str], list[int]]
                     s = " ".join(ws)
                 if rng.random() < 0.08:
                     s = s.upper()
-                grades = [1, 1, 1] if category == 3 else [int(grade) if category == k else 0 for k in range(3)]
+                grades = [int(grade)] * 3 if category == 3 else [int(grade) if category == k else 0 for k in range(3)]
                 out.append((features(tokens(s)), grades))
     return out
 
 
+def _pairs(ws: Sequence[str]) -> set[str]:
+    return {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:]))}
+
+
+class Witnesses:
+    """The sentences of reviewed documents and how typical their words are of each category."""
+
+    def __init__(self, reviewed: Sequence[tuple[str, str]]):
+        self.docs = [(CATEGORIES.index(label), sentences(t)) for label, t in reviewed if label in CATEGORIES]
+        others = [sentences(t) for label, t in reviewed if label not in CATEGORIES]
+        self.words = {s: _pairs(tokens(s)) for _, parts in self.docs for s in parts}
+        n = [sum(k == c for c, _ in self.docs) for k in range(len(CATEGORIES))]
+        seen: list[dict[str, int]] = [{} for _ in range(len(CATEGORIES) + 1)]
+        for k, parts in [*self.docs, *((len(CATEGORIES), p) for p in others)]:
+            for x in set().union(*(self.words[s] if s in self.words else _pairs(tokens(s)) for s in parts)) if parts else ():
+                seen[k][x] = seen[k].get(x, 0) + 1
+        total = max(1, len(others))
+        self.typical = []
+        for k in range(len(CATEGORIES)):
+            odds = {x: np.log((c + 0.5) / max(1, n[k]) * total / (seen[-1].get(x, 0) + 5)) for x, c in seen[k].items()}
+            self.typical.append({x: float(min(1.0, max(0.0, v / 3))) for x, v in odds.items()})
+        # a sentence that other documents hold nearly as often is no witness
+        whole: list[dict[tuple[str, ...], int]] = [{} for _ in range(len(CATEGORIES) + 1)]
+        for k, parts in [*self.docs, *((len(CATEGORIES), p) for p in others)]:
+            for x in {tuple(tokens(s)) for s in parts}:
+                whole[k][x] = whole[k].get(x, 0) + 1
+        self.common = [{x for x, c in whole[k].items() if ENRICHED * (whole[-1].get(x, 0) + 1) * max(1, n[k]) >= c * total} for k in range(len(CATEGORIES))]
+
+    def pick(self, model: Ordinal, clear: float = 0.9) -> list[tuple[list[str], list[int]]]:
+        """One training row for each document with a clear witness."""
+        out = []
+        for k, parts in self.docs:
+            if not parts:
+                continue
+            typical = np.array([np.mean([self.typical[k].get(x, 0.0) for x in self.words[s]]) if self.words[s] else 0.0 for s in parts])
+            own = [tuple(tokens(s)) for s in parts]
+            possible = np.array([len("".join(x)) >= 4 and x not in self.common[k] for x in own])
+            score = np.where(possible, model.expected(parts)[:, k] + 2 * typical, 0.0)
+            best = int(score.argmax())
+            if score[best] >= clear:
+                out.append((features(tokens(parts[best])), [2 if c == k else 0 for c in range(len(CATEGORIES))]))
+        return out
+
+
 def fit(reviewed: Sequence[tuple[str, str]], seed: int = SEED) -> Ordinal:
-    """A model from (label, text) rows: reviewed documents, and unreviewed ones as ``none``."""
+    """A model from (label, text) rows: reviewed documents, ``none`` if harmless, and ``UNREAD``."""
     rows = pool(seed)
     rng = random.Random(seed)
     zero = [0] * len(CATEGORIES)
-    background = list(dict.fromkeys(s for label, t in reviewed if label == "none" for s in sentences(t)))
-    rng.shuffle(background)
-    distinct = background[:9000]
-    for s in distinct[:3000]:  # parts of sentences are as harmless
+    kinds: dict[str, bool] = {}
+    uses: dict[str, int] = {}
+    for label, t in reviewed:
+        if label not in CATEGORIES:
+            for s in set(sentences(t)):
+                kinds[s] = kinds.get(s, False) or label != UNREAD
+                uses[s] = uses.get(s, 0) + 1
+    harmless = sorted(kinds)
+    rng.shuffle(harmless)
+    harmless.sort(key=lambda s: -uses[s])
+    harmless = harmless[:SENTENCES]
+    read = np.array([kinds[s] for s in harmless], bool)
+    plain = [(features(tokens(s)), zero) for s in harmless]
+    parts = []
+    for s in rng.sample(harmless, min(PARTS, len(harmless))):  # parts of sentences are as harmless
         ws = s.split()
         if len(ws) > 4:
             k = rng.randrange(len(ws) - 2)
-            distinct.append(" ".join(ws[k : k + rng.randint(2, 6)]))
-    plain = [(features(tokens(s)), zero) for s in distinct]
-    model = Ordinal().fit(rows + plain, steps=70)
-    if not distinct:
+            parts.append((features(tokens(" ".join(ws[k : k + rng.randint(2, 6)]))), zero))
+    model = Ordinal().fit(rows + plain + parts, steps=60)
+    if not harmless:
         return model
-    sure = model.expected(distinct).max(axis=1) > 1.2
-    plain = [p for p, s in zip(plain, sure) if not s]
-    for label, t in reviewed:
-        if label in CATEGORIES:
-            parts = sentences(t)
-            k = CATEGORIES.index(label)
-            got = model.expected(parts)
-            if len(parts) and got[:, k].max() > 0.8 and got[:, k].argmax() == got.max(axis=1).argmax():
-                rows.append((features(tokens(parts[int(got[:, k].argmax())])), [2 if c == k else 0 for c in range(len(CATEGORIES))]))
-    return model.fit(rows + plain)
+    keep = lambda m, limit: [p for p, s, r in zip(plain, m.expected(harmless).max(axis=1), read) if r or s <= limit]
+    witnesses = Witnesses(reviewed)
+    if witnesses.docs:
+        model = Ordinal().fit(rows + keep(model, 1.2) + parts + witnesses.pick(model), steps=60)
+    return Ordinal().fit(rows + keep(model, 1.0) + parts + witnesses.pick(model))
 
 
 def sample(documents: DataFrame, labels: DataFrame, limit: int = SAMPLE, background: int = BACKGROUND) -> list[tuple[str, str]]:
     """(label, text) of reviewed documents whose reviews agree, and of any ``background`` ones
-    as ``none``."""
+    as ``UNREAD``."""
     agreed = labels.filter("label is not null").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("_m")).filter("label = _m")
     first = hash_sample(agreed, "doc_id", limit, labels.count())
     got = documents.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(first), "doc_id")  # at most ``limit`` short rows
     plain = hash_sample(documents.select("doc_id", "text").filter(F.length("text") <= SAMPLE_CHARS), "doc_id", background, documents.count())
-    return sorted((r[0], r[1]) for r in got.select("label", "text").collect()) + sorted(("none", r[1]) for r in plain.collect())
+    return sorted((r[0], r[1]) for r in got.select("label", "text").collect()) + sorted((UNREAD, r[1]) for r in plain.collect())
 
 
 _SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("source", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in CATEGORIES)])
