@@ -85,14 +85,14 @@ class CRF:
         self.weights, self.moves, self.first = w, m, b
         return self
 
-    def tag(self, xs: Sequence[Sequence[str]]) -> list[str]:
-        """The best tag sequence."""
+    def tag(self, xs: Sequence[Sequence[str]], bias: np.ndarray | float = 0.0) -> list[str]:
+        """The best tag sequence; ``bias`` is added to the score of each tag at each position."""
         find = self.feature.get
         best: list[np.ndarray] = []
         back: list[np.ndarray] = []
         for p, x in enumerate(xs):
             ids = [i for f in x if (i := find(f)) is not None]
-            e = self.weights[ids].sum(axis=0)
+            e = self.weights[ids].sum(axis=0) + bias
             if p == 0:
                 best.append(self.first + e)
             else:

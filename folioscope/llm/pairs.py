@@ -249,11 +249,25 @@ class Tagger:
         return "truncated" if tags[-1] == "unfinished" else None
 
 
+_CHOICE = re.compile(r"\[([^\[\]]*)\]")
+_BETWEEN_HAN = re.compile(r"(?<=[一-鿿，。]) +(?=[一-鿿，。？])")
+
+
+def _made(lines: str, rng: random.Random, subject: str = "") -> str:
+    """A sentence of a grammar of ``pools``."""
+    s = _CHOICE.sub(lambda m: rng.choice(m[1].split("|")), rng.choice(lines.split("\n")).replace("{}", subject))
+    s = re.sub(r" {2,}", " ", _BETWEEN_HAN.sub("", s))
+    return re.sub(r"\s+([.,])", r"\1", s)
+
+
+def _sentence(s: str) -> str:
+    return s[:1].upper() + s[1:]
+
+
 def _refusals(rng: random.Random, k: str, subject: str) -> str:
-    core = rng.choice(pools.REFUSALS[k].split("|")).replace("{}", subject)
-    lead = rng.choice(pools.OPENERS[k].split("|"))
-    s = lead + core + rng.choice(pools.CLOSERS[k].split("|")) + ("。" if k == "zh" else ".")
-    s = s[0].upper() + s[1:]
+    core = _made(pools.REFUSALS[k], rng, subject).strip()
+    lead = _made(pools.OPENERS[k], rng)
+    s = _sentence(lead + core + _made(pools.CLOSERS[k], rng)) + ("。" if k == "zh" else ".")
     return s.upper() if rng.random() < 0.08 else s
 
 
@@ -299,19 +313,18 @@ def fit(rows: list[tuple[str, str]], lid: language.Model, seed: int = SEED, ends
         if rng.random() < 0.1:
             add(q, q.rstrip() + rng.choice([" ", "\n\n"]) + a, lambda n, m=len(tagger.clauses(a)[0]): ["echo"] * (n - m) + ["answer"] * m if n >= m else ["answer"] * n)
     for k in some:
-        for _ in range(160):
+        for _ in range(300):
             q = rng.choice(questions[k])
             parts, tags = [_refusals(rng, k, rng.choice(["gradebook", "calendar", "Kalender", "calendrier", "資源庫", "export dialog"]))], ["refusal"]
             if rng.random() < 0.4:
-                parts.append(rng.choice(pools.COURTESIES[k].split("|")))
+                parts.append(_sentence(_made(pools.COURTESIES[k], rng).strip()))
                 tags.append("courtesy")
             if rng.random() < 0.3:
-                parts.insert(0, rng.choice(pools.COURTESIES[k].split("|")))
+                parts.insert(0, _sentence(_made(pools.COURTESIES[k], rng).strip()))
                 tags.insert(0, "courtesy")
             add(q, ("" if k == "zh" else " ").join(parts), lambda n, t=tags: t if n == len(t) else ["refusal"] * n)
-        for a in pools.ANSWERS[k].split("|"):
-            for _ in range(4):
-                add(rng.choice(questions[k]), a, lambda n: ["answer"] * n)
+        for _ in range(60):
+            add(rng.choice(questions[k]), _sentence(_made(pools.ANSWERS[k], rng).strip()), lambda n: ["answer"] * n)
         for _ in range(60):
             q = rng.choice(questions[k])
             e = rng.choice([q, q, q.upper(), q.rstrip("?.!。？ "), "  ".join(q.split(" ")), q.lower()])
