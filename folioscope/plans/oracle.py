@@ -141,7 +141,18 @@ UNION ALL
 SELECT id, path || '/' || name || '/' || CAST(i - 1 AS VARCHAR), x FROM (SELECT id, path, name, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM (
   SELECT node.id, node.path, k.name, {_list("json_extract(node.obj, '$.' || k.name)")} AS l FROM node, (VALUES {", ".join(f"('{r}')" for r in REPEATED)}) k(name) WHERE json_type(node.obj) = 'OBJECT')))"""
 
+
+def _typed(kind: str) -> str:
+    """The table of one kind of node with typed columns."""
+    from ..operators.shred import COLUMNS
+
+    columns = ", ".join(f"TRY_CAST(json_extract_string(obj, '$.{n}') AS {t.replace('string', 'VARCHAR')}) AS {n.replace('.', '_')}" for n, t in COLUMNS[kind].items())
+    return f"""WITH {_NODES} SELECT id AS message_id, path, CASE WHEN path LIKE '%/%' THEN regexp_replace(path, '/[^/]+/[0-9]+$', '') END AS parent_path, {columns}
+FROM node WHERE json_type(obj) = 'OBJECT' AND len(json_keys(obj)) > 0 AND CASE WHEN path LIKE '%/%' THEN regexp_extract(path, '([^/]+)/[0-9]+$', 1) ELSE 'sources' END = '{kind}'"""
+
+
 SQL: dict[str, str] = {
+    **{f"p4_{kind}": _typed(kind) for kind in ("sources", "related", "passages", "highlights")},
     "p4_found": f"WITH {_NODES} SELECT DISTINCT id AS message_id, path FROM node WHERE json_type(obj) = 'OBJECT' AND len(json_keys(obj)) > 0",
     "mth01_cosine_topk": f"WITH {_matched(0.1)} SELECT id, document_title, chunk_index, round(sim, 6) AS similarity FROM matched",
     "flt02_cosine_topk_typed": f"WITH {_matched(0.1, 'teacher')} SELECT id, document_title, chunk_index, round(sim, 6) AS similarity FROM matched",

@@ -57,6 +57,34 @@ def p4_tables(spark: SparkSession, d: str) -> DataFrame:
     return shred.source_tables(table(spark, d, "chat_history"))
 
 
+def _p4_typed(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    return shred.typed(shred.source_tables(table(spark, d, "chat_history")), kind, shred.COLUMNS[kind])
+
+
+@query
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The table of sources with typed columns."""
+    return _p4_typed(spark, d, "sources")
+
+
+@query
+def p4_related(spark: SparkSession, d: str) -> DataFrame:
+    """The table of related sources, at any depth, with their parents."""
+    return _p4_typed(spark, d, "related")
+
+
+@query
+def p4_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The table of passages with their parents."""
+    return _p4_typed(spark, d, "passages")
+
+
+@query
+def p4_highlights(spark: SparkSession, d: str) -> DataFrame:
+    """The table of highlights with their parents."""
+    return _p4_typed(spark, d, "highlights")
+
+
 # retrieval
 
 

@@ -6,7 +6,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioscope.operators.shred import REPEATED, assemble, flat_tables, level_columns, parse, path_of, shred, source_paths, tables, unwrap
+from folioscope.operators.shred import COLUMNS, REPEATED, _parse_deep, assemble, dumps, flat_tables, level_columns, parse, path_of, shred, source_paths, tables, typed, unwrap
 
 
 def walk(slots, prefix, out):
@@ -81,3 +81,52 @@ def test_dataframes(spark):
     cols = {r.leaf_path: r for r in level_columns(df.limit(1), "id", "sources").collect()}
     assert cols["[].title"].repetition == [0, 1, 1] and cols["[].title"].definition == [3, 1, 3]
     assert source_paths(df.limit(0)).count() == 0
+
+
+def test_any_depth(spark):
+    """Nesting, wrappers and leaf values far beyond the interpreter's stack."""
+    n = 3000
+    text = '{"title": "x", "related": [' * n + '{"title": "y"}' + "]}" * n
+    df = spark.createDataFrame([("m", text), ("cut", text[:-1]), ("leaf", '[{"title": ' + "[" * 40_000 + "]" * 40_000 + "}]")], "id string, sources string")
+    got = source_paths(df).groupBy("message_id").count().collect()
+    assert {r[0]: r[1] for r in got} == {"m": n + 1, "leaf": 1}
+    wrapped = [{"title": "a"}]
+    for _ in range(40):
+        wrapped = {"data": wrapped} if _ % 2 else json.dumps({"results": wrapped})[:10**6]
+        if isinstance(wrapped, str) and len(wrapped) > 10**5:
+            break
+    assert paths(unwrap(wrapped)) == ["0"]
+    deep: list = []
+    for _ in range(50_000):
+        deep = [deep]
+    assert dumps(deep) == "[" * 50_001 + "]" * 50_001 and parse(dumps([{"a\n": 1.5e3, "b": [True, None, "é"]}])) == [{"a\n": 1500.0, "b": [True, None, "é"]}]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.recursive(st.one_of(st.none(), st.booleans(), st.integers(), st.floats(allow_nan=False, allow_infinity=False), st.text()), lambda x: st.one_of(st.lists(x, max_size=4), st.dictionaries(st.text(), x, max_size=4)), max_leaves=12), st.integers(0, 200))
+def test_deep_parser_equals_the_library(v, k):
+    text = json.dumps(v)
+    assert _parse_deep(text) == v
+    for broken in (text[:k], text + "]", text + ",", "[" + text, text.replace(":", "", 1), text.replace(",", "", 1)):
+        try:
+            want = json.loads(broken)
+        except ValueError:
+            want = ValueError
+        try:
+            got = _parse_deep(broken)
+        except ValueError:
+            got = ValueError
+        assert got == want or got != got
+
+
+def test_lists_of_any_name(spark):
+    v = [{"title": "t", "files": [{"name": "a", "parts": [{"n": 1}, 2]}, None], "tags": ["x"], "passages": {"score": 1}}]
+    df = spark.createDataFrame([("m", json.dumps(v))], "id string, sources string")
+    got = {(r.path, r.kind): json.loads(r.fields) for r in flat_tables(df, "id", "sources", None).collect()}
+    assert got == {("0", "sources"): {"title": "t", "tags": ["x"], "passages": {"score": 1}}, ("0/files/0", "files"): {"name": "a"}, ("0/files/0/parts/0", "parts"): {"n": 1}}
+
+
+def test_typed(spark):
+    v = [{"title": "t", "page": "3", "similarity": "x", "section": {"heading": "h"}}]
+    (r,) = typed(flat_tables(spark.createDataFrame([("m", json.dumps(v))], "id string, sources string"), "id", "sources"), "sources", COLUMNS["sources"]).collect()
+    assert (r.title, r.page, r.similarity, r.section_heading, r.section_level) == ("t", 3, None, "h", None)
