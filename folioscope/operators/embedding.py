@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
@@ -23,6 +25,28 @@ class Embedder(Protocol):
     def __call__(self, texts: list[str]) -> list[list[float] | None]: ...
 
 
+class RateLimited(Exception):
+    """What a model raises when it is asked too often; ``after`` is the wait it asks for."""
+
+    def __init__(self, after: float | None = None):
+        super().__init__(f"rate limited, retry after {after}")
+        self.after = after
+
+
+@dataclass(frozen=True)
+class Retry:
+    """EMB-01: how often a batch is tried, the seconds before it is tried again (or as long as
+    the model asks for), and the seconds between two batches of a task."""
+
+    attempts: int = 3
+    pause: float = 5.0
+    pace: float = 0.0
+
+    def wait(self, error: Exception) -> float:
+        after = error.after if isinstance(error, RateLimited) else None
+        return self.pause if after is None else after
+
+
 class HashEmbedder:
     """EMB-01/02 offline: signed counts of hashed words, of unit length."""
 
@@ -41,32 +65,42 @@ class HashEmbedder:
         return out
 
 
-def embed(df: DataFrame, column: str, embedder: Embedder, dry_run: bool = False, attempts: int = 3, batch: int = BATCH) -> DataFrame:
-    """EMB-01..03, MTH-05, JN-08: ``df`` with ``embedding``, ``status`` and ``error``.  A batch is tried
-    ``attempts`` times and then given up with nulls; a dry run gives zero vectors."""
-    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType()), T.StructField("error", T.StringType())])
+def embed(df: DataFrame, column: str, embedder: Embedder, dry_run: bool = False, retry: Retry = Retry(), batch: int = BATCH) -> DataFrame:
+    """EMB-01..03, MTH-05, JN-08: ``df`` with ``embedding``, ``status``, ``error`` and ``latency_ms``, the
+    time of its batch's last call (MTH-06).  A batch is tried ``retry.attempts`` times and then
+    given up with nulls; a dry run gives zero vectors."""
+    schema = T.StructType([*df.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), T.StructField("latency_ms", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(column).to_pylist()
             vectors: list = []
             errors: list = []
+            took: list = []
             for lo in range(0, len(texts), batch):
                 part = [t or "" for t in texts[lo : lo + batch]]
-                got, error = [None] * len(part), "no vector"
+                got, error, ms = [None] * len(part), "no vector", None
                 if dry_run:
                     got = [[0.0] * embedder.dimensions] * len(part)
                 else:
-                    for _ in range(attempts):
+                    for k in range(retry.attempts):
+                        began = time.perf_counter()
                         try:
                             got = embedder(part)
                             break
                         except Exception as e:  # noqa: BLE001
                             error = f"{type(e).__name__}: {e}"[:500]
+                            if k + 1 < retry.attempts:
+                                time.sleep(retry.wait(e))
+                        finally:
+                            ms = 1000 * (time.perf_counter() - began)
+                    if retry.pace and lo + batch < len(texts):
+                        time.sleep(retry.pace)
+                took += [ms] * len(part)
                 vectors += got
                 errors += [None if v is not None else error for v in got]
             status = ["dry_run" if dry_run else "success" if v is not None else "failed" for v in vectors]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(status, pa.string()), pa.array(errors, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(status, pa.string()), pa.array(errors, pa.string()), pa.array(took, pa.float64())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -92,10 +126,10 @@ def pending(chunks: DataFrame, embeddings: DataFrame, model: str, limit: int | N
     return rows.join(have, "id", "left_anti")
 
 
-def results(rows: DataFrame, model: str, embedder: Embedder, dry_run: bool = False) -> DataFrame:
-    """EMB-03: (document_id, model_name, embedding, status, error) of the rows to embed."""
-    done = embed(rows.select(F.col("id").alias("document_id"), "content"), "content", embedder, dry_run)
-    return done.select("document_id", F.lit(model).alias("model_name"), "embedding", "status", "error")
+def results(rows: DataFrame, model: str, embedder: Embedder, dry_run: bool = False, retry: Retry = Retry()) -> DataFrame:
+    """EMB-03: (document_id, model_name, embedding, status, error, latency_ms) of the rows to embed."""
+    done = embed(rows.select(F.col("id").alias("document_id"), "content"), "content", embedder, dry_run, retry)
+    return done.select("document_id", F.lit(model).alias("model_name"), "embedding", "status", "error", "latency_ms")
 
 
 def status_counts(done: DataFrame) -> DataFrame:

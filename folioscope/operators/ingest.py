@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import maybe_broadcast
+from ..session import cut, maybe_broadcast
 from . import chunking
 from .embedding import Embedder, embed
 from .ordered import any_hot
@@ -37,13 +37,14 @@ def cleaned_pages(pages: DataFrame, headers: DataFrame | None = None) -> DataFra
 
 
 def document_types(pages: DataFrame) -> DataFrame:
-    """STR-06, WIN-07: readers named by the title, else by the first two pages.  Pages are tested
-    one by one and only the answers are gathered, so files of one name are no burden."""
+    """STR-06, WIN-07: readers named by the file's path (its title, where pages have no ``path``),
+    else by the first two pages.  Pages are tested one by one and only the answers are gathered,
+    so files of one name are no burden."""
     low = F.lower(F.coalesce("text", F.lit("")))
     early = F.coalesce(F.col("page_number") <= 2, F.lit(False))
     named = lambda words: F.max(early & low.rlike("|".join(words)))
-    t = pages.groupBy("document_title").agg(named(text.TEACHER).alias("t"), named(text.STUDENT).alias("s"))
-    by_title = text.manual_type(F.col("document_title"))
+    t = pages.groupBy("document_title").agg(named(text.TEACHER).alias("t"), named(text.STUDENT).alias("s"), F.min("path" if "path" in pages.columns else "document_title").alias("where"))
+    by_title = text.manual_type(F.col("where"))
     return t.select("document_title", F.when(by_title != "", by_title).when(F.col("t"), "teacher").when(F.col("s"), "student").otherwise("").alias("manual_type"))
 
 
@@ -74,6 +75,7 @@ def ingest(pages: DataFrame, embedder: Embedder, size: int = chunking.CHUNK_TOKE
     leaves nulls and no misalignment."""
     hot = any_hot(pages.select("document_title"), "document_title")
     made = chunking.numbered(chunking.chunk_pages(cleaned_pages(pages), size, overlap), hot)
-    t = made.join(maybe_broadcast(document_types(pages)), "document_title", "left").join(maybe_broadcast(document_links(pages)), "document_title", "left")
+    of_file = document_types(pages).withColumnRenamed("document_title", "_t").join(document_links(pages).withColumnRenamed("document_title", "_l"), F.col("_t").eqNullSafe(F.col("_l"))).drop("_l")
+    t = made.join(maybe_broadcast(cut(of_file)), F.col("document_title").eqNullSafe(F.col("_t")), "left")
     rows = t.select(F.expr("uuid()").alias("id"), "content", "document_title", "source_url", "manual_type", "chunk_index", "page_number", F.col("chunk_total").cast("int"), F.current_timestamp().cast("timestamp_ntz").alias("created_at"))
     return embed(rows, "content", embedder, dry_run)

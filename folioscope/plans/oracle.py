@@ -219,7 +219,7 @@ SELECT s.id, CASE WHEN title = 'New Chat' AND f IS NOT NULL THEN substring(f, 1,
     "jn04_pending": f"SELECT id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM document_embeddings e WHERE e.document_id = c.id AND e.model_name = '{MODEL}')",
     "jn04_pending_limited": f"SELECT id FROM (SELECT id FROM chunks ORDER BY id LIMIT 100) c WHERE NOT EXISTS (SELECT 1 FROM document_embeddings e WHERE e.document_id = c.id AND e.model_name = '{MODEL}')",
     "emb03_dry_run": f"SELECT id AS document_id, '{MODEL}' AS model_name, 'dry_run' AS status, 32 AS dimensions, CAST(0.0 AS DOUBLE) AS total FROM chunks",
-    "snk03_upserted": f"""WITH a AS (SELECT id, document_id, model_name, coalesce(len(embedding), 0) AS dimensions, 0 AS n FROM document_embeddings UNION ALL SELECT 'new-' || id, id, '{MODEL}', 32, 1 FROM chunks WHERE chunk_index = 0)
+    "snk03_upserted": f"""WITH a AS (SELECT id, document_id, model_name, coalesce(len(embedding), 0) AS dimensions, 0 AS n FROM document_embeddings UNION ALL SELECT 'new-' || id, id, '{MODEL}', 32, 1 FROM chunks)
 SELECT id, document_id, model_name, CAST(dimensions AS INTEGER) AS dimensions FROM (SELECT *, row_number() OVER (PARTITION BY document_id, model_name ORDER BY n DESC, id DESC) AS r FROM a) WHERE r = 1""",
     "agg02_counts": "SELECT count(*) AS chunks, count(embedding) AS embedded FROM chunks",
     "agg03_chunks_per_title": "SELECT document_title, count(*) AS chunks FROM chunks GROUP BY 1",

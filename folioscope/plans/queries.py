@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text, vector
-from ..operators import chat, embedding, history, ingest, retrieval, shred
+from ..operators import chat, chunking, embedding, history, ingest, retrieval, shred
+from ..operators.ordered import any_hot
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -352,6 +353,12 @@ def his02_history(spark: SparkSession, d: str) -> DataFrame:
     return h.select("session_id", "id", "created_at", F.coalesce(F.json_array_length("sources"), F.lit(0)).alias("citations"))
 
 
+@query
+def jsn03_session_history(spark: SparkSession, d: str) -> DataFrame:
+    """HIS-02, JSN-03: all messages in order with their citations parsed."""
+    return history.session_history(table(spark, d, "chat_history"))
+
+
 @query
 def arr03_flattened(spark: SparkSession, d: str) -> DataFrame:
     """ARR-03: both sides of every message with their sizes."""
@@ -442,13 +449,6 @@ def _upserted(spark: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
 
 @query
 def snk03_upserted(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-03: vectors of repeated keys merged, zero vectors of the first chunks over them, as in
-    its SQL; ``snk03_upserted_all`` is the whole job."""
-    return _upserted(spark, d, _chunks(spark, d).filter("chunk_index = 0"))
-
-
-@query
-def snk03_upserted_all(spark: SparkSession, d: str) -> DataFrame:
     """SNK-03: vectors of repeated keys merged, zero vectors of all chunks over them."""
     return _upserted(spark, d, _chunks(spark, d))
 
@@ -468,9 +468,8 @@ def agg03_chunks_per_title(spark: SparkSession, d: str) -> DataFrame:
 @query
 def agg09_numbering(spark: SparkSession, d: str) -> DataFrame:
     """WIN-01, AGG-09: chunks numbered anew within their file."""
-    w = Window.partitionBy("document_title")
-    order = w.orderBy(F.col("page_number").asc_nulls_last(), F.col("chunk_index").asc_nulls_last(), "id")
-    return _chunks(spark, d).select("id", (F.row_number().over(order) - 1).alias("new_index"), F.count("*").over(w).alias("new_total"))
+    c = _chunks(spark, d).select("id", "document_title", F.coalesce("page_number", F.lit(2**31 - 1)).alias("page_number"), F.struct(F.coalesce("chunk_index", F.lit(2**31 - 1)), "id").alias("position"))
+    return chunking.numbered(c, any_hot(c.select("document_title"), "document_title")).select("id", F.col("chunk_index").alias("new_index"), F.col("chunk_total").alias("new_total"))
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import os
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, fields
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .pdf import pdf_pages
+
 Extractor = Callable[[bytes], list[str]]
 
 
@@ -37,15 +40,26 @@ def discover(spark: SparkSession, root: str, ending: str = ".pdf", limit: int |
 
 
 def plain_text(content: bytes) -> list[str]:
-    """The default extractor: UTF-8 text, pages parted by form feeds."""
+    """UTF-8 text, pages parted by form feeds."""
     return content.decode("utf-8").split("\f")
 
 
-_PAGES = T.StructType([T.StructField(n, t) for n, t in (("document_title", T.StringType()), ("page_number", T.IntegerType()), ("text", T.StringType()), ("ocr", T.BooleanType()), ("error", T.StringType()))])
+def automatic(content: bytes) -> list[str]:
+    """PDF pages of a PDF file, text pages of any other."""
+    return pdf_pages(content) if content.lstrip()[:5] == b"%PDF-" else plain_text(content)
+
+
+def named(function: str) -> Callable:
+    """The function ``module:name``."""
+    module, _, name = function.partition(":")
+    return getattr(importlib.import_module(module), name)
+
+
+_PAGES = T.StructType([T.StructField(n, t) for n, t in (("path", T.StringType()), ("document_title", T.StringType()), ("page_number", T.IntegerType()), ("text", T.StringType()), ("ocr", T.BooleanType()), ("error", T.StringType()))])
 
 
-def extract_pages(files: DataFrame, extractor: Extractor = plain_text, ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
-    """SRC-02/03: (document_title, page_number, text, ocr, error); blank pages are read again by
+def extract_pages(files: DataFrame, extractor: Extractor = automatic, ocr: Callable[[bytes, int], str] | None = None) -> DataFrame:
+    """SRC-02/03: (path, document_title, page_number, text, ocr, error); blank pages are read again by
     ``ocr`` if there is one, and an unreadable file gives one row with its error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,10 +75,10 @@ def extract_pages(files: DataFrame, extractor: Extractor = plain_text, ocr: Call
                                 t = ocr(content, i)
                             except Exception:  # noqa: BLE001
                                 t = ""
-                        rows.append((title, i, t, again, None))
+                        rows.append((path, title, i, t, again, None))
                 except Exception as e:  # noqa: BLE001
-                    rows.append((title, None, None, False, f"{type(e).__name__}: {e}"[:500]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string()))], names=_PAGES.names)
+                    rows.append((path, title, None, None, False, f"{type(e).__name__}: {e}"[:500]))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string()))], names=_PAGES.names)
 
     return files.select("path", "content").mapInArrow(run, _PAGES)
 

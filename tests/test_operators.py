@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioscope.functions.vector import cosine_to, usable_vector
@@ -115,7 +116,7 @@ def test_embedding(spark):
             return embedding.HashEmbedder.__call__(self, texts)
 
     df = spark.createDataFrame([("1", "good words"), ("2", "bad one"), ("3", None), ("4", "good words")], "id string, content string")
-    got = {r.id: r for r in embedding.embed(df, "content", Failing(8), batch=1).collect()}
+    got = {r.id: r for r in embedding.embed(df, "content", Failing(8), retry=embedding.Retry(pause=0.01), batch=1).collect()}
     assert got["1"].status == "success" and got["2"].status == "failed" and "no" in got["2"].error and got["3"].status == "failed"
     dry = embedding.embed(df, "content", Failing(8), dry_run=True).collect()
     assert all(r.embedding == [0.0] * 8 and r.status == "dry_run" for r in dry)
@@ -210,3 +211,58 @@ def test_hash_sample(spark):
     assert a == b and len(a) == 100 and len(set(a)) == 100
     assert hash_sample(df.limit(5), "k", 100, 5).count() == 5
     assert hash_sample(df.limit(0), "k", 100, 0).count() == 0
+
+
+def _pdf(pages, compressed=True):
+    import zlib
+
+    def stream(body):
+        data = zlib.compress(body) if compressed else body
+        return b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(data), b" /Filter /FlateDecode" if compressed else b"", data)
+
+    n = len(pages)
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"<< /Type /Pages /Count %d /Kids [%s] >>" % (n, b" ".join(b"%d 0 R" % (3 + 2 * i) for i in range(n)))]
+    for i, lines in enumerate(pages):
+        text = b"BT /F1 12 Tf 72 700 Td " + b" ".join(b"(%s) Tj 0 -14 Td" % x.replace("(", r"\(").replace(")", r"\)").encode("cp1252") for x in lines) + b" ET"
+        objects += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (4 + 2 * i), stream(text)]
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, o) for k, o in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+def test_pdf_pages():
+    from folioscope.sources.pdf import pdf_pages
+
+    want = [["First (page)", "Größe"], [], ["Third"]]
+    for compressed in (True, False):
+        assert [p.split("\n") if p else [] for p in pdf_pages(_pdf(want, compressed))] == want
+    assert "a b" in pdf_pages(_pdf([["x"]], False).replace(b"(x) Tj", b"[(a) -300 (b)] TJ"))[0]
+    for bad in (b"", b"text", b"%PDF-1.4\n%%EOF", _pdf([["x"]]).replace(b"/Root", b"/Encrypt 9 0 R /Root")):
+        with pytest.raises(ValueError):
+            pdf_pages(bad)
+
+
+def test_pdf_files_are_ingested(spark, tmp_path):
+    (tmp_path / "teacher").mkdir()
+    (tmp_path / "teacher" / "A.PDF").write_bytes(_pdf([["Hello there.", "How are you?"], []]))
+    (tmp_path / "b.pdf").write_bytes(b"plain\ftext")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF-1.4 broken")
+    rows = files.extract_pages(files.discover(spark, str(tmp_path))).orderBy("document_title", "page_number").collect()
+    assert [(r.document_title, r.text, r.error) for r in rows] == [("A.PDF", "Hello there.\nHow are you?", None), ("A.PDF", "", None), ("b.pdf", "plain", None), ("b.pdf", "text", None), ("c.pdf", None, "ValueError: no pages")]
+    kinds = ingest.document_types(files.extract_pages(files.discover(spark, str(tmp_path)))).collect()
+    assert {r.document_title: r.manual_type for r in kinds} == {"A.PDF": "teacher", "b.pdf": "", "c.pdf": ""}
+    assert files.named("os.path:join")("a", "b") == "a/b"
+
+
+def test_retry_waits():
+    r = embedding.Retry(pause=2.0)
+    assert r.wait(ValueError()) == 2.0 and r.wait(embedding.RateLimited(7.5)) == 7.5 and r.wait(embedding.RateLimited()) == 2.0
+
+
+def test_replaced_table(spark, tmp_path):
+    from folioscope import cli
+
+    path = f"{tmp_path}/t.parquet"
+    for n in (1, 2):
+        cli.replace(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    cli.replace(spark.read.parquet(path).union(spark.range(5)), path)  # reads what it replaces
+    assert spark.read.parquet(path).count() == 7 and [x.name for x in tmp_path.iterdir()] == ["t.parquet"]

@@ -44,7 +44,7 @@ def test_every_chunk_is_upserted(spark, sf):
     from folioscope.plans.queries import MODEL
     from folioscope.session import table
 
-    got = {(r.document_id, r.model_name): (r.id, r.dimensions) for r in QUERIES["snk03_upserted_all"](spark, sf).collect()}
+    got = {(r.document_id, r.model_name): (r.id, r.dimensions) for r in QUERIES["snk03_upserted"](spark, sf).collect()}
     ids = {r.id for r in table(spark, sf, "chunks", "id").collect()}
     assert all(got[i, MODEL] == (f"new-{i}", 32) for i in ids)
     old = {(r.document_id, r.model_name) for r in table(spark, sf, "document_embeddings").collect()}
