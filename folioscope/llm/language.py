@@ -3,8 +3,11 @@
 Method: word-first backoff.  A known word scores by its per-language log frequency; an unseen
 word falls back to its character 5-grams, then 4-, 3-, 2- and 1-grams, the longest order of
 which any gram is known.  A text is cut into fragments at sentence ends, line ends and changes
-of script; the fragments' scores are smoothed along the text, and each language that holds a
-whole sentence of its own becomes a segment with its confidence.
+of script, and each language that holds a whole sentence of its own is one of the text's.
+``spans`` smooths the fragments' scores along the text (a change of language costs ``CHANGE``)
+and gives each part's language, begin and end; its confidence is calibrated on pieces of the
+sample.  Parts of which less than ``FAMILIAR`` of the words are known, or in another script, are
+``other``.
 
 The model is fitted on a bounded sample of labelled rows (``SAMPLE`` rows in the order of a hash
 of their key, each of at most ``SAMPLE_CHARS`` characters) besides the common words below, and
@@ -31,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import hash_sample
+from .boost import Logistic
 
 LANGS = ("en", "zh", "es", "de", "fr")
 SAMPLE, SAMPLE_CHARS = 2000, 20_000
@@ -38,6 +42,8 @@ SAMPLE, SAMPLE_CHARS = 2000, 20_000
 MIN_WORDS, MIN_HAN = (3, 5), (5, 7)
 #: Log odds that a segment must have against the text's main language.
 MIN_ODDS = 7.0
+#: Log odds a change of language along a text must gain, and least share of known words.
+CHANGE, FAMILIAR = 5.0, 0.15
 
 #: Common words of each language, to start from where labelled rows are few.
 COMMON = {
@@ -58,6 +64,8 @@ NAMES = {
 UNKNOWN = "n/a na und unknown unk none null mul mis zxx xx undefined undetermined unspecified other ? - ??".split()
 
 _TOKEN = re.compile(r"[一-鿿㐀-䶿]|[^\W\d_一-鿿㐀-䶿]+(?:['’][^\W\d_]+)*")
+_LETTER = regex.compile(r"\p{L}")
+_KNOWN_SCRIPT = regex.compile(r"[\p{Latin}\p{Han}]")
 _STOPS = frozenset(".!?。！？")
 _HAN = re.compile(r"[一-鿿㐀-䶿]")
 _LATIN_RUN = re.compile(r"[A-Za-z'’]+[ ,]+[A-Za-z'’]+[ ,]+[A-Za-z]")
@@ -121,6 +129,34 @@ class Model:
             self.grams.append(self._table(grams, 0.5))
         self.index: dict[str, int] = {}
         self.rows = np.zeros((4096, len(LANGS)), np.float32)
+        self.calibration = (0.0, 3.0)
+
+    def confidence(self, scores: np.ndarray, k: int) -> float:
+        """Probability that language ``k`` is right, from the log scores of a text."""
+        odds = float(scores[k] - np.delete(scores, k).max())
+        a, b = self.calibration
+        return 1 / (1 + math.exp(-min(40.0, max(-40.0, a + b * math.copysign(math.log1p(abs(odds)), odds)))))
+
+    def calibrate(self, texts: list[str]) -> None:
+        """Fit the confidence on pieces of 1 to 8 words of ``texts``: whether the language of a
+        piece is that of its text."""
+        x, y = [], []
+        for t in texts:
+            words = _TOKEN.findall(without_code(t).lower())
+            if len(words) < 12:
+                continue
+            whole = int(self.scores([" ".join(words)])[0][0].argmax())
+            for n in (1, 2, 4, 8):
+                for at in range(n, len(words) - n, 1 + len(words) // 8):
+                    s = self.scores([" ".join(words[at : at + n])])[0]
+                    if len(s):
+                        top = np.sort(s[0])
+                        x.append([math.log1p(float(top[-1] - top[-2]))])
+                        y.append(float(s[0].argmax() == whole))
+        if len(y) >= 50 and 0 < sum(y) < len(y):
+            w = Logistic(ridge=1.0).fit(np.array(x), np.array(y)).w
+            if w[1] > 0:
+                self.calibration = (float(w[0]), float(w[1]))
 
     @staticmethod
     def _table(counts: list[Counter[str]], add: float) -> dict[str, np.ndarray]:
@@ -203,8 +239,63 @@ def decide(model: Model, text: str | None) -> list[tuple[str, float, int]]:
     for k in [main, *sorted(segments)]:
         mine = [i for i, j in enumerate(own) if j == k] if segments else list(range(len(scores)))
         sub = scores[mine].sum(axis=0) if mine else total
-        rest = np.delete(sub, k).max()
-        out.append((LANGS[k], 1 / (1 + math.exp(-min(40.0, max(-40.0, (sub[k] - rest) / 2)))), len(mine)))
+        out.append((LANGS[k], model.confidence(sub, k), len(mine)))
+    return out
+
+
+def _places(text: str) -> Iterator[tuple[int, str]]:
+    """(begin, fragment) of the fragments with letters; addresses and code are blanked in place."""
+    for marks, rule, _ in _RULES[1:]:
+        if any(m in text for m in marks):
+            text = rule.sub(lambda m: " " * len(m[0]), text)
+    at = 0
+    for m in [*_CUT.finditer(text), None]:
+        part = text[at : m.start() if m else len(text)]
+        inner = _SCRIPT.split(part) if _LATIN_RUN.search(part) and _HAN.search(part) else [part]
+        for x in inner:
+            if _LETTER.search(x):
+                yield at, x
+            at += len(x)
+        at = m.end() if m else at
+
+
+def spans(model: Model, text: str | None) -> list[tuple[str, float, int, int]]:
+    """(language, confidence, begin, end) of the parts of a text in order; positions are code
+    points of the text as it is.  One part for a text in one language, none without letters."""
+    places = list(_places(text)) if text else []
+    if not places:
+        return []
+    langs = [LANGS.index(k) for k, _, _ in decide(model, text)]
+    tokens = [_TOKEN.findall(p.lower()) for _, p in places]
+    scores = np.zeros((len(places), len(LANGS)))
+    own = [i for i, t in enumerate(tokens) if t]
+    if own:
+        scores[own] = model.scores(places[i][1] for i in own)[0]
+    foreign = [not t or len(_KNOWN_SCRIPT.findall(p)) * 2 < len(_LETTER.findall(p)) for (_, p), t in zip(places, tokens)]
+    path = [0] * len(places)
+    if len(langs) > 1:
+        best, back = scores[0, langs], []
+        for s in scores[1:, langs]:
+            stay, move = best, best.max() - CHANGE
+            back.append(np.where(stay >= move, np.arange(len(langs)), best.argmax()))
+            best = np.maximum(stay, move) + s
+        path[-1] = int(best.argmax())
+        for i in range(len(back) - 1, -1, -1):
+            path[i] = int(back[i][path[i + 1]])
+    out: list[tuple[str, float, int, int]] = []
+    lo = 0
+    for i in range(1, len(places) + 1):
+        if i < len(places) and (path[i], foreign[i]) == (path[lo], foreign[lo]):
+            continue
+        begin, end = places[lo][0] + len(places[lo][1]) - len(places[lo][1].lstrip()), places[i - 1][0] + len(places[i - 1][1].rstrip())
+        words = [w for t in tokens[lo:i] for w in t]
+        known = sum(w in model.words for w in words) / len(words) if words else 0.0
+        if foreign[lo] or not langs or known < FAMILIAR:
+            out.append(("other", 1 - known, begin, end))
+        else:
+            k = langs[path[lo]]
+            out.append((LANGS[k], model.confidence(scores[lo:i].sum(axis=0), k), begin, end))
+        lo = i
     return out
 
 
@@ -228,6 +319,7 @@ def fit(rows: Iterable[tuple[str, str | None]], rounds: int = 1) -> Model:
                 if n + han >= 4 and np.diff(np.sort(s)[-2:])[0] > 2.0:
                     pairs.append((LANGS[int(s.argmax())], f))
         model = count(pairs)
+    model.calibrate([t for _, t in rows[:400]])
     return model
 
 
@@ -255,20 +347,38 @@ def languages(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     return df.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, schema)
 
 
-def all_records(documents: DataFrame, chunks: DataFrame, history: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
+_SPANS = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+
+
+def language_spans(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
+    """``languages`` with the text's parts: (record_id, segments[lang, confidence, begin, end])."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+    schema = T.StructType([T.StructField("record_id", T.StringType()), T.StructField("segments", _SPANS)])
+    arrow = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            found = [[{"lang": k, "confidence": c, "begin": lo, "end": hi} for k, c, lo, hi in spans(m, t)] for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, arrow)], names=schema.names)
+
+    return df.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, schema)
+
+
+def all_records(documents: DataFrame, chunks: DataFrame, history: DataFrame, labels: DataFrame, model: Model | None = None, read=languages) -> DataFrame:
     """(record_table, record_id, label, segments) over documents and the labelled chunks and
     messages; long texts are read where they lie and only their languages are joined."""
     model = model or fit(sample(documents))
     named = documents.withColumn("_key", F.concat_ws("\x1f", F.col("doc_id").cast("string"), "lang"))
-    docs = languages(named, "_key", "text", model).select(F.lit("documents").alias("record_table"), F.substring_index("record_id", "\x1f", 1).alias("record_id"), F.when(F.col("record_id").contains("\x1f"), F.substring_index("record_id", "\x1f", -1)).alias("label"), "segments")
+    docs = read(named, "_key", "text", model).select(F.lit("documents").alias("record_table"), F.substring_index("record_id", "\x1f", 1).alias("record_id"), F.when(F.col("record_id").contains("\x1f"), F.substring_index("record_id", "\x1f", -1)).alias("label"), "segments")
     keys = labels.select("record_table", "record_id", F.col("lang").alias("label")).distinct()
     parts = [docs]
     own = lambda name: keys.filter(F.col("record_table") == name)
-    got = languages(chunks.filter("content is not null"), "id", "content", model)
+    got = read(chunks.filter("content is not null"), "id", "content", model)
     parts.append(own("chunks").join(got, "record_id").select("record_table", "record_id", "label", "segments"))
     # few messages are labelled: those that are not needn't be read by the model
     listed = history.select(F.col("id").alias("record_id"), "user_message").filter("user_message is not null").join(own("chat_history").select("record_id").distinct(), "record_id", "left_semi")
-    got = languages(listed, "record_id", "user_message", model)
+    got = read(listed, "record_id", "user_message", model)
     parts.append(own("chat_history").join(got, "record_id").select("record_table", "record_id", "label", "segments"))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

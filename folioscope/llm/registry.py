@@ -62,8 +62,8 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    return language.all_records(table(spark, d, "documents", "doc_id", "text", "lang"), table(spark, d, "chunks", "id", "content"), table(spark, d, "chat_history", "id", "user_message"), table(spark, d, "lang_labels"))
+def _records(spark: SparkSession, d: str, read=language.languages) -> DataFrame:
+    return language.all_records(table(spark, d, "documents", "doc_id", "text", "lang"), table(spark, d, "chunks", "id", "content"), table(spark, d, "chat_history", "id", "user_message"), table(spark, d, "lang_labels"), read=read)
 
 
 @query
@@ -74,8 +74,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p3_languages(spark: SparkSession, d: str) -> DataFrame:
-    """Every record's languages with their confidence."""
-    return _records(spark, d).selectExpr("record_table", "record_id", "label", "inline(segments)")
+    """The parts of every record: language, confidence, begin and end."""
+    return _records(spark, d, language.language_spans).selectExpr("record_table", "record_id", "label", "inline(segments)")
 
 
 @query

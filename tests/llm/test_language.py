@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscope.llm import language
+from folioscope.llm import language as lg
 
 EN = "Please keep a copy of the report in the shared folder so that everyone can find it."
 ES = "Guarde una copia del informe en la carpeta común para que todos puedan encontrarla."
@@ -56,3 +57,40 @@ def test_issues(spark):
     assert got == {("documents", "2", "missing", "es"), ("documents", "3", "wrong", "fr"), ("documents", "4", "mixed", "en"), ("documents", "4", "mixed", "de"), ("chunks", "c2", "wrong", "de"), ("chat_history", "h1", "missing", "fr")}
     empty = language.issues(language.all_records(docs.limit(0), chunks.limit(0), hist.limit(0), labels.limit(0)))
     assert empty.count() == 0
+
+
+def test_spans():
+    m = lg.fit([])
+    en, de, zh = "This is the place where all of the people come to work.", "Das ist der Ort, an dem alle Leute arbeiten und nicht nur sitzen.", "這是大家來學習和工作的地方。"
+    text = f"{en} {en}\n{de}\n{zh}"
+    got = lg.spans(m, text)
+    assert [k for k, *_ in got] == ["en", "de", "zh"]
+    assert text[got[0][2] : got[0][3]] == f"{en} {en}" and text[got[1][2] : got[1][3]] == f"{de}" and text[got[2][2] : got[2][3]] == zh
+    assert all(0.5 < c <= 1 for _, c, *_ in got)
+    assert [(k, lo, hi) for k, _, lo, hi in lg.spans(m, f"  {en}  ")] == [("en", 2, 2 + len(en))]
+    assert [k for k, *_ in lg.spans(m, "Это место, где работают все люди нашего города.")] == ["other"]
+    assert [k for k, *_ in lg.spans(m, f"{en}\nЭто место, где работают все люди нашего города.")] == ["en", "other"]
+    assert [k for k, *_ in lg.spans(m, "Tämä paikka kuuluu kaupungin asukkaille, joiden lapset oppivat uimaan järvessä.")] == ["other"]
+    assert lg.spans(m, None) == lg.spans(m, "") == lg.spans(m, "12 + 3") == []
+
+
+def test_confidence_is_calibrated(spark, sf):
+    """Of pieces of few words about as many are right as their confidence says."""
+    import numpy as np
+
+    docs = [(r.k, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("text", lg.label_language(F.col("lang")).alias("k")).filter("text is not null").collect()]
+    m = lg.fit([d for d in docs[::2] if d[0] in lg.LANGS])
+    said, right = [], []
+    for _, t in docs[1::2]:
+        words = lg._TOKEN.findall(lg.without_code(t).lower())
+        if len(words) >= 12 and len(lg.decide(m, t)) == 1:
+            whole = int(m.scores([" ".join(words)])[0][0].argmax())
+            for n in (1, 2, 3, 5):
+                for at in range(0, len(words) - n, 7):
+                    s = m.scores([" ".join(words[at : at + n])])[0][0]
+                    said.append(m.confidence(s, int(s.argmax())))
+                    right.append(s.argmax() == whole)
+    said, right = np.array(said), np.array(right)
+    for lo, hi in ((0.0, 0.8), (0.8, 0.95), (0.95, 1.01)):
+        own = (said >= lo) & (said < hi)
+        assert own.sum() < 40 or abs(said[own].mean() - right[own].mean()) < 0.12, (lo, said[own].mean(), right[own].mean())
