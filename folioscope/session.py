@@ -33,11 +33,17 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def counted_bytes(df: DataFrame) -> int:
-    """The size of all rows of ``df``, counted: lengths of texts and 16 bytes for any other value."""
-    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() in ("string", "binary")]
+    """The size of all rows of ``df``, counted: lengths of texts and of lists of texts, 16 bytes for
+    any other value and element."""
     size = F.lit(16 * len(df.columns))
-    for c in text:
-        size = size + c
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif kind == "array":
+            size = size + 16 * F.greatest(F.size(f.name), F.lit(0))
+            if f.dataType.elementType.typeName() == "string":
+                size = size + F.octet_length(F.concat_ws("", f.name))
     return df.agg(F.sum(size.cast("long"))).first()[0] or 0
 
 
