@@ -76,3 +76,33 @@ def test_graph_search_from_the_top():
     assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(ids, want)]) >= 0.9
     assert np.all(np.diff(sims, axis=1) <= 1e-6)
     assert hnsw.Graph(x[:1]).search(q[:2], 3)[0][0, 0] == 0
+
+
+def test_oversized_shards_are_parted_by_pivots(spark):
+    """One first pivot: all shards come from parting, and their size is bounded."""
+    rng = np.random.default_rng(6)
+    x, ids = clustered(2400, rng)
+    want = brute(ids, x)
+    got = {tuple(r) for r in similar.pairs(frame(spark, ids, x), shard_rows=10**6, max_shard=200).collect()}
+    assert not got - want and len(got & want) / len(want) >= 0.97
+
+
+def test_what_pivots_cannot_part_is_cut(spark, monkeypatch):
+    """A shard that does not get smaller is compared part with part."""
+    monkeypatch.setattr(similar, "LOCAL_PIVOTS", 1)
+    rng = np.random.default_rng(7)
+    x, ids = clustered(600, rng)
+    want = brute(ids, x)
+    got = {tuple(r) for r in similar.pairs(frame(spark, ids, x), max_shard=100).collect()}
+    assert not got - want and len(got & want) / len(want) >= 0.97
+
+
+def test_centres_of_pivots():
+    rng = np.random.default_rng(8)
+    p = rng.normal(size=(3000, 32)).astype(np.float32)
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    x = p[rng.integers(0, 3000, 800)] + 0.1 * rng.normal(size=(800, 32)).astype(np.float32)
+    q = similar.Pivots(p)
+    near = q.nearest(x, 2)
+    exact = np.argsort(-(x @ p.T), axis=1)[:, :2]
+    assert q.coarse is not None and (near[:, 0] == exact[:, 0]).mean() >= 0.95 and near.shape == (800, 2)
