@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, lookup
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SEED = 42
@@ -36,16 +36,20 @@ def clean_source(col: Column) -> Column:
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
-    import public_tokenizers
+def _encoding(path: str, pattern: str | None):
+    """The vocabulary file ``path`` with the ``pattern`` that parts texts before merging; without
+    one, that of the package the vocabularies come in."""
     import tiktoken
 
+    if pattern is None:
+        from public_tokenizers import PATTERN as pattern
+
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("parameter", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("parameter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFrame:
+def token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER, pattern: str | None = None) -> DataFrame:
     """``df`` with ``text`` replaced by ``tokens``, its size in tokens; texts are counted whole,
     in pieces of at most 100,000 characters cut at white space where there is any."""
     others = [f for f in df.schema.fields if f.name != text]
@@ -53,7 +57,7 @@ def token_counts(df: DataFrame, text: str, tokenizer: str = TOKENIZER) -> DataFr
     def count(t: str | None) -> int:
         if not t:
             return 0
-        enc, n, at = _encoding(tokenizer), 0, 0
+        enc, n, at = _encoding(tokenizer, pattern), 0, 0
         while at < len(t):
             end = at + 100_000
             if end < len(t) and (space := t.rfind(" ", at + 1, end)) > at:
@@ -130,7 +134,7 @@ def plan(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def copies(sizes: DataFrame, planned: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, source, copy, tokens): each document as often as its count says."""
     u = (F.xxhash64(F.lit(seed), "doc_id") / F.lit(2.0**64)) + 0.5
-    used = sizes.join(planned.select("source", "thresholds"), "source").withColumn("_u", u).withColumn("_k", F.size(F.filter("thresholds", lambda c: F.col("_u") >= c)))
+    used = lookup(sizes.filter("source is not null"), cut(planned.select("source", "thresholds")), ["source"], "inner").withColumn("_u", u).withColumn("_k", F.size(F.filter("thresholds", lambda c: F.col("_u") >= c)))
     return used.filter("_k > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy"), "tokens")
 
 
