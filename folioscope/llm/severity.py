@@ -61,17 +61,19 @@ _VOWELS = re.compile(r"[aeiouyà-æè-ïò-öø-üœ*]")
 _DISGUISE = re.compile(r"[@$€!*0-9]")
 _LETTER = re.compile(r"[a-zà-öø-ÿœß]")
 _BOLD = re.compile(r"(?<!\w)\*\*|\*\*(?!\w)")
-#: Sentence marks that must outlast the folding of wide letters.
-_WIDE = str.maketrans("！？", "。。")
+_FOREIGN = re.compile("[ɐ-\u052f]")
 
 
 def plain(text: str) -> str:
     """Text in lower case with its disguises by signs undone; line ends and sentence marks stay."""
     if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text.translate(_WIDE)))
+        # sentence marks must outlast the folding of wide letters
+        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text.replace("！", "。").replace("？", "。")))
     text = text.lower()
     if not text.isascii():
-        text = _HAN_PARTED.sub("", text.translate(_ALIKE))
+        if _FOREIGN.search(text) or "ı" in text:
+            text = text.translate(_ALIKE)
+        text = _HAN_PARTED.sub("", text)
     if "**" in text:
         text = _BOLD.sub("", text)
     return _PARTED.sub(_joined, text)
