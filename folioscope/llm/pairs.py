@@ -239,8 +239,7 @@ class Tagger:
         told = sum(n for t, n in said.items() if t != "courtesy")
         if not told:
             return None
-        again = sum(n for t, n, x in zip(tags, sizes, xs) if t == "echo" and ("echo=whole" in x or "echo=most" in x))
-        if again == told and again >= 0.5 * len(_WORD.findall(message)):
+        if said["echo"] == told and said["echo"] >= 0.5 * len(_WORD.findall(message)):
             return "copies_question"
         if said["refusal"] and said["refusal"] + said["foreign"] + (said["unfinished"] if sizes[-1] <= 2 else 0) >= told:
             return "refusal"
