@@ -15,7 +15,8 @@ gives the letters left.  The model is fitted on
   each of the others one sentence is the witness of its review and gets grade 2: the one the
   model finds worst and whose word pairs are most frequent in documents so reviewed against all
   others.  A document without a clear witness (reviewers err) is left out;
-* ``BACKGROUND`` other documents as harmless, but for sentences the model is sure of.
+* ``BACKGROUND`` other documents as harmless, but for sentences the model is sure of, and common
+  words in any order.
 
 Edge cases: null and empty texts score 0; repeated documents score alike; conflicting reviews
 of a document make it no training row; a null source is a source of its own in the rates.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import hash_sample
+from . import language
 from . import severity_pools as pools
 from .mixing import clean_source
 
@@ -43,8 +45,9 @@ GRADES, CASE = 3, 1.35
 SAMPLE, BACKGROUND, SAMPLE_CHARS, SEED = 3000, 2000, 20_000, 5
 #: Few features weigh no more than this many.
 LEAST = 8
-#: Harmless sentences of the fit (the most frequent), and parts of them; label of documents nobody reviewed.
-SENTENCES, PARTS, UNREAD = 9000, 3000, "unread"
+#: Harmless sentences of the fit (the most frequent), parts of them, and rows of common words in
+#: any order; label of documents nobody reviewed.
+SENTENCES, PARTS, SALADS, UNREAD = 9000, 3000, 3000, "unread"
 #: How many times more frequent in documents of its category than in others a witness must be.
 ENRICHED = 5
 
@@ -405,6 +408,12 @@ def fit(reviewed: Sequence[tuple[str, str]], seed: int = SEED) -> Ordinal:
         if len(ws) > 4:
             k = rng.randrange(len(ws) - 2)
             parts.append((features(tokens(" ".join(ws[k : k + rng.randint(2, 6)]))), zero))
+    # common words in any order, alone and among words of harmless sentences, say nothing
+    used = sorted({w for s in harmless for w in s.split()})
+    for k in range(SALADS):
+        own = language.COMMON[language.LANGS[k % len(language.LANGS)]].split()
+        ws = [rng.choice(own) if not used or rng.random() < 0.7 else rng.choice(used) for _ in range(rng.randint(3, 12))]
+        parts.append((features(tokens(" ".join(ws))), zero))
     model = Ordinal().fit(rows + plain + parts, steps=60)
     if not harmless:
         return model
