@@ -47,7 +47,7 @@ SAMPLE, BACKGROUND, SAMPLE_CHARS, SEED = 3000, 2000, 20_000, 5
 LEAST = 8
 #: Harmless sentences of the fit (the most frequent), parts of them, and rows of common words in
 #: any order; label of documents nobody reviewed.
-SENTENCES, PARTS, SALADS, UNREAD = 9000, 3000, 3000, "unread"
+SENTENCES, PARTS, SALADS, UNREAD = 9000, 3000, 1200, "unread"
 #: How many times more frequent in documents of its category than in others a witness must be.
 ENRICHED = 5
 

@@ -10,7 +10,7 @@ contain is learnt from them.
 
 SLOTS = {
     # en
-    "adj": "stupid dumb worthless pathetic ugly useless filthy lazy brainless spineless miserable disgusting rotten ignorant incompetent hopeless gutless shameless fat idiotic".split(),
+    "adj": "stupid dumb worthless pathetic ugly useless filthy lazy brainless spineless miserable disgusting rotten ignorant incompetent hopeless gutless shameless fat idiotic damn bloody fucking goddamn sick crazy".split(),
     "insult": "idiot moron fool loser imbecile dimwit coward clown bastard jerk twat halfwit asshole dumbass simpleton liar worm pig cretin nitwit freak scumbag creep bitch prick".split(),
     "harm": "kill hurt beat_up strangle stab shoot burn crush punch hunt_down slap torture".split(),
     "vermin": "vermin rats animals parasites scum filth trash subhumans cockroaches pests savages a_disease a_plague".split(),
