@@ -45,7 +45,7 @@ GRADES, CASE = 3, 1.35
 SAMPLE, BACKGROUND, SAMPLE_CHARS, SEED = 3000, 2000, 20_000, 5
 #: Few features weigh no more than this many.
 LEAST = 8
-#: Harmless sentences of the fit (the most frequent), parts of them, and rows of common words in
+#: At most so many harmless sentences (the most frequent), parts of them, and rows of common words in
 #: any order; label of documents nobody reviewed.
 SENTENCES, PARTS, SALADS, UNREAD = 9000, 3000, 1200, "unread"
 #: How many times more frequent in documents of its category than in others a witness must be.
@@ -410,7 +410,7 @@ def fit(reviewed: Sequence[tuple[str, str]], seed: int = SEED) -> Ordinal:
             parts.append((features(tokens(" ".join(ws[k : k + rng.randint(2, 6)]))), zero))
     # common words in any order, alone and among words of harmless sentences, say nothing
     used = sorted({w for s in harmless for w in s.split()})
-    for k in range(SALADS):
+    for k in range(min(SALADS, len(harmless))):
         own = language.COMMON[language.LANGS[k % len(language.LANGS)]].split()
         ws = [rng.choice(own) if not used or rng.random() < 0.7 else rng.choice(used) for _ in range(rng.randint(3, 12))]
         parts.append((features(tokens(" ".join(ws))), zero))

@@ -30,7 +30,7 @@ def test_thresholds_are_ordered(model):
         ("you ugly fool, learn to read before you post.", "abusive"),
         ("shut up, you w*rthl*ss piece of garbage.", "abusive"),
         ("Southerners are v3rm1n, every last one of them.", "hateful"),
-        ("unlimited n u d e s, no signup, mature wives waiting for you.", "sexual"),
+        ("download hot n u d e s of horny couples tonight.", "sexual"),
         ("du bist ein Dummkopf und alle wissen es.", "abusive"),
         ("外國人都是害.蟲，沒有例外。", "hateful"),
     ],
