@@ -4,8 +4,8 @@ Frames are ``grade|sentence``; ``[a|b|]`` takes one of its parts by chance and `
 SLOTS.  Grade 1 mentions such language or uses its words in a harmless sense, 2 insults or is
 suggestive, 3 threatens, dehumanises or is explicit.  ``{people}`` is a group, real or made up by
 ``severity.pool`` by chance, so that the frame counts rather than the name.  Everything here is
-written from general knowledge of the five languages; what the reviewed documents of a corpus
-contain is learnt from them.
+written as general phrases of the five languages (the README says what was in view); what the
+reviewed documents of a corpus contain is learnt from them.
 """
 
 SLOTS = {
