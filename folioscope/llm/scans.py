@@ -51,8 +51,8 @@ from .boost import Boosted, Logistic
 
 LEXICON, KNOWN, SURE, Q, RAREST, PAGES, LIKE, SEED = 200_000, 2, 0.5, 3, 6, 3, 0.3, 3
 #: Bounds of what is fitted on, of the gram order, of keys compared letter by letter, and pages
-#: after which a paragraph without end is cut.
-SAMPLE, PER_FILE, SAMPLE_CHARS, GRAMS, LONG_KEY, MOST_PAGES = 400, 16, 20_000, 200_000, 400, 64
+#: of a long paragraph that are joined at once.
+SAMPLE, PER_FILE, SAMPLE_CHARS, GRAMS, LONG_KEY, STRETCH = 400, 16, 20_000, 200_000, 400, 64
 
 #: What scanners read (left) for what is printed (right).
 CONFUSIONS = (
@@ -801,33 +801,48 @@ def paragraphs(chunks: DataFrame) -> DataFrame:
     return rows.select("id", "document_title", "page_number", F.array_join("paragraphs", "\n\n").alias("text"), ((F.size("paragraphs") > 0) & ~F.substring("last_line", -1, 1).isin(*_STOPS)).alias("goes_on"))
 
 
-def continuous(chunks: DataFrame, most: int = MOST_PAGES, limit: int = HOT_ROWS) -> DataFrame:
+def _joined(pieces: DataFrame, *by: str) -> DataFrame:
+    """The pieces of each paragraph (and of each value of ``by``) as one, under its first page."""
+    names = ("place", "id", "document_title", "page_number")
+    p = F.array_sort(F.collect_list(F.struct(*names, "_text"))).alias("_p")
+    return pieces.groupBy("file", "paragraph", *by).agg(p, F.sum("pages").alias("pages")).select("file", "paragraph", *by, *(F.col("_p")[0][n].alias(n) for n in names), "pages", F.array_join(F.transform("_p", lambda x: x["_text"]), " ").alias("_text"))
+
+
+def continuous(chunks: DataFrame, most: int | None = None, limit: int = HOT_ROWS, stretch: int = STRETCH) -> DataFrame:
     """(document_title, paragraph, id, page_number, pages, text): the paragraphs of every scanned
     file in order, those that run over page ends in one piece, under the page they begin on.
 
-    The line pair of two pages' last and first lines is classified as any other.  A paragraph is
-    cut at every ``most``-th page of a file, so that a file without any paragraph end is
-    not gathered into one row; no text is lost.  Pages without place come last, by id."""
+    The line pair of two pages' last and first lines is classified as any other.  A paragraph
+    that runs into another ``stretch`` of a file's pages is joined stretch by stretch, in tasks of
+    their own, before it is joined whole; it is one row, however many pages it is on.  With
+    ``most`` paragraphs are cut at every ``most``-th page of a file; no text is lost.  Pages
+    without place come last, by id."""
     rows, scanner = repaired(chunks)
     rows = cut(rows.withColumn("file", F.coalesce(F.concat(F.lit("t"), "document_title"), F.concat(F.lit("i"), "id"))).withColumn("place", F.coalesce("page_number", F.lit(2**31 - 1))).filter("size(paragraphs) > 0"))
     hot = any_hot(rows.select("file"), "file", limit)
     shared = chunks.sparkSession.sparkContext.broadcast(scanner)
-    slim = rows.select("file", "id", "place", "first_line", "last_line", "width")
+    slim = rows.select("file", "id", "place", F.size("paragraphs").alias("_size"), "first_line", "last_line", "width")
     slim = with_neighbours(slim, "file", "place", "id", ["last_line", "width"], hot, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [bool(a) and shared.value.goes_on([(a, f)], w)[0] for f, a, w in zip(*(b.column(k).to_pylist() for k in (3, 4, 5)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), pa.array(ok, pa.bool_())], names=["file", "id", "place", "on"])
+            ok = [bool(a) and shared.value.goes_on([(a, f)], w)[0] for f, a, w in zip(*(b.column(k).to_pylist() for k in (4, 5, 6)))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2, 3)), pa.array(ok, pa.bool_())], names=["file", "id", "place", "_size", "on"])
 
-    on = slim.select("file", "id", "place", "first_line", F.col("_prev.last_line"), F.col("_prev.width")).mapInArrow(run, "file string, id string, place int, on boolean")
+    on = slim.select("file", "id", "place", "_size", "first_line", F.col("_prev.last_line"), F.col("_prev.width")).mapInArrow(run, "file string, id string, place int, _size int, on boolean")
     one = with_running_total(on.withColumn("_one", F.lit(1).cast("long")), "file", ["place", "id"], "_one", "_place", hot, limit)
-    t = rows.select("id", "document_title", "page_number", "paragraphs").join(one.select("file", "id", "place", (F.col("on") & (F.col("_place") % most != 0)).alias("on"), "_place"), "id")
-    t = t.withColumn("_new", (F.size("paragraphs") - F.col("on").cast("int")).cast("long"))
-    before = with_running_total(t.select("file", "id", "place", "_new"), "file", ["place", "id"], "_new", "_first", hot, limit)
-    t = t.drop("file", "place").join(before.select("file", "id", "place", "_first"), "id")
-    pieces = t.select("file", "document_title", "id", "page_number", "place", "_first", "on", F.posexplode("paragraphs").alias("_k", "_text"))
-    pieces = pieces.withColumn("paragraph", (F.col("_first") + F.col("_k") - F.col("on").cast("int")).cast("long"))
-    whole = pieces.groupBy("file", "paragraph").agg(F.array_sort(F.collect_list(F.struct("place", "id", "document_title", "page_number", "_text"))).alias("_p"))  # of ``most`` pages at most
+    if most:
+        one = one.withColumn("on", F.col("on") & (F.col("_place") % most != 0))
+    new = one.select("file", "id", "place", "on", "_place", (F.col("_size") - F.col("on").cast("int")).cast("long").alias("_new"))
+    at = cut(with_running_total(new, "file", ["place", "id"], "_new", "_first", hot, limit).select("file", "id", "place", "on", "_place", "_first"))
+    t = rows.select("id", "document_title", "page_number", "paragraphs").join(at, "id")
+    pieces = t.select("file", "document_title", "id", "page_number", "place", "_place", "_first", "on", F.posexplode("paragraphs").alias("_k", "_text"))
+    pieces = pieces.withColumns({"paragraph": (F.col("_first") + F.col("_k") - F.col("on").cast("int")).cast("long"), "pages": F.lit(1)})
+    long = cut(at.filter(F.col("on") & (F.col("_place") % stretch == 0)).select("file", (F.col("_first") - 1).alias("paragraph")).distinct())
+    if long.isEmpty():
+        whole = _joined(pieces)
+    else:
+        parted = lookup(pieces, long, ["file", "paragraph"], "left_semi").withColumn("_stretch", F.floor(F.col("_place") / stretch))
+        whole = _joined(lookup(pieces, long, ["file", "paragraph"], "left_anti")).unionByName(_joined(_joined(parted, "_stretch")))
     han = r"(?<=[一-鿿]) (?=[一-鿿])"
-    return whole.select(F.col("_p")[0]["document_title"].alias("document_title"), "paragraph", F.col("_p")[0]["id"].alias("id"), F.col("_p")[0]["page_number"].alias("page_number"), F.size("_p").alias("pages"), F.regexp_replace(F.array_join(F.transform("_p", lambda x: x["_text"]), " "), han, "").alias("text"))
+    return whole.select("document_title", "paragraph", "id", "page_number", F.col("pages").cast("int").alias("pages"), F.regexp_replace("_text", han, "").alias("text"))

@@ -147,3 +147,19 @@ def test_continuous(spark, born):
         assert len({r.text for r in got} & set(whole)) >= 0.6 * len(whole)  # an end that fills its line looks like no end
     cut = scans.continuous(df, most=2).orderBy("paragraph").collect()
     assert " ".join(r.text for r in cut) == " ".join(whole) and max(r.pages for r in cut) <= 2
+
+
+def test_paragraphs_over_any_number_of_pages(spark, born):
+    """A paragraph on more pages than a stretch, and one of two pages where a stretch ends, are whole."""
+    rnd = random.Random(6)
+    endless = lambda pages: wrap("So " + " ".join(rnd.choice([w for w in WORDS if len(w) > 1]) for _ in range(pages * 90)), 44)[: pages * 9]
+    long, short = endless(150), endless(64)
+    rows = [(f"l{k:03}", "long.pdf", k + 1, "\n".join(["Long Book", *long[k * 9 : k * 9 + 9], str(k + 1)])) for k in range(150)]
+    rows += [(f"s{k:03}", "short.pdf", k + 1, "\n".join(["Short Book", *(short[k * 9 : k * 9 + 9] if k in (63, 64) else [*wrap(sentence(rnd)), *wrap(sentence(rnd))]), str(k + 1)])) for k in range(66)]
+    rows[150 + 64] = (*rows[150 + 64][:3], "\n".join(["Short Book", "and goes on with the paper and the ink of all", "of it.", *wrap(sentence(rnd)), "65"]))
+    df = spark.createDataFrame(born + rows, SCHEMA)
+    for limit in (10**6, 20):
+        got = scans.continuous(df, limit=limit).collect()
+        assert [(r.id, r.pages, r.text) for r in got if r.document_title == "long.pdf"] == [("l000", 150, " ".join(long))]
+        assert [r.pages for r in got if r.id == "s063" and r.text.endswith("of all of it.")] == [2]
+        assert [r.paragraph for r in sorted((r for r in got if r.document_title == "short.pdf"), key=lambda r: r.paragraph)] == list(range(sum(r.document_title == "short.pdf" for r in got)))
