@@ -85,23 +85,33 @@ class CRF:
         self.weights, self.moves, self.first = w, m, b
         return self
 
+    def emission(self, features: Sequence[str]) -> np.ndarray:
+        """The score of each tag at a position, added up in the order of its features."""
+        find = self.feature.get
+        return self.weights[[i for f in features if (i := find(f)) is not None]].sum(axis=0)
+
     def tag(self, xs: Sequence[Sequence[str]], bias: np.ndarray | float = 0.0) -> list[str]:
         """The best tag sequence; ``bias`` is added to the score of each tag at each position."""
-        find = self.feature.get
-        best: list[np.ndarray] = []
-        back: list[np.ndarray] = []
-        for p, x in enumerate(xs):
-            ids = [i for f in x if (i := find(f)) is not None]
-            e = self.weights[ids].sum(axis=0) + bias
-            if p == 0:
-                best.append(self.first + e)
-            else:
-                t = best[-1][:, None] + self.moves
-                back.append(t.argmax(axis=0))
-                best.append(t.max(axis=0) + e)
-        k = int(best[-1].argmax())
+        return self.best([(self.emission(x) + bias).tolist() for x in xs])
+
+    def best(self, emissions: Sequence[list[float]]) -> list[str]:
+        """The best tag sequence, from the score of each tag at each position.  Few tags are
+        compared faster in lists than in arrays."""
+        into = self.moves.T.tolist()  # of each tag, from all tags
+        best = [a + b for a, b in zip(self.first.tolist(), emissions[0])]
+        back: list[list[int]] = []
+        for e in emissions[1:]:
+            now, at = [], []
+            for to, x in zip(into, e):
+                t = [a + b for a, b in zip(best, to)]
+                m = max(t)
+                at.append(t.index(m))
+                now.append(m + x)
+            best = now
+            back.append(at)
+        k = best.index(max(best))
         out = [k]
         for b in reversed(back):
-            k = int(b[k])
+            k = b[k]
             out.append(k)
         return [self.tags[i] for i in reversed(out)]

@@ -105,18 +105,20 @@ class Ends:
 
     def count(self, texts: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(grams, places, ends) over all clauses; ``wanted`` is a filter by bit."""
-        codes, code, sizes, marks = [], self.codes, [], []
-        for t in texts:
-            for c in _CLAUSE.split(t):
-                if c and (w := _WORD.findall(c)):
-                    codes += [code[x] for x in w]
-                    sizes.append(len(w))
-                    marks.append(bool(_END.search(c)))
+        codes, code, sizes, marks, times = [], self.codes, [], [], []
+        # each distinct clause once, for all its uses
+        for c, uses in Counter(c for t in texts for c in _CLAUSE.split(t)).items():
+            if w := _WORD.findall(c):
+                codes += [code[x] for x in w]
+                sizes.append(len(w))
+                marks.append(bool(_END.search(c)))
+                times.append(uses)
         flat, size = np.array(codes, np.uint64), np.array(sizes, np.int64)
         clause, last = np.repeat(np.arange(len(size)), size), np.cumsum(size) - 1
         mark = np.zeros(len(flat), bool)
         mark[last] = np.array(marks, bool)
-        found, ends = [], []
+        used = np.repeat(np.array(times, np.int64), size)
+        found, ends, uses = [], [], []
         for n in ORDERS:
             if len(flat) < n:
                 continue
@@ -127,9 +129,12 @@ class Ends:
                 keep &= (wanted[slot >> 3] >> (slot & 7) & 1).astype(bool)
             found.append(h[keep])
             ends.append(mark[n - 1 :][keep])
+            uses.append(used[n - 1 :][keep])
         h, at = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_inverse=True)
-        final = np.bincount(at, np.concatenate(ends) if ends else None, len(h)).astype(np.int64) if len(h) else h
-        return h, np.bincount(at, minlength=len(h)).astype(np.int64), final
+        if not len(h):
+            return h, h, h
+        weight = np.concatenate(uses)  # whole numbers far below 2^53, so their sums are exact
+        return h, np.bincount(at, weight, len(h)).astype(np.int64), np.bincount(at, weight * np.concatenate(ends), len(h)).astype(np.int64)
 
     def features(self, grams: list[int]) -> list[str]:
         out = []
@@ -145,9 +150,75 @@ def least(rows: int) -> float:
     return 12 * max(1.0, rows / SAMPLE)
 
 
+class Clause:
+    """What a clause is by itself, whatever stands beside it."""
+
+    __slots__ = ("alien", "bullet", "emission", "mark", "score", "tail", "text", "words")
+
+    def __init__(self, c: str, score: list[float]):
+        low = c.lower()
+        self.words = _WORD.findall(low)
+        self.text = " ".join(self.words)
+        self.tail = " ".join(_WORD.findall(low.partition(": ")[2])) if ": " in c else ""
+        self.mark, self.bullet = bool(_END.search(c)), bool(_BULLET.match(c))
+        self.score = score
+        self.alien: dict[tuple[int, ...], str] = {}
+        self.emission: list[float] | None = None
+
+    def own(self) -> list[str]:
+        return ["bias", *(f"w={a}" for a in self.words), *(f"b={a} {b}" for a, b in zip(self.words, self.words[1:]))]
+
+
 class Tagger:
+    #: Clauses, and messages, kept for later and forgotten when there are too many; longer ones
+    #: hardly come again.
+    KEPT, KEPT_CHARS = 40_000, 400
+
     def __init__(self, lid: language.Model, ends: Ends):
         self.lid, self.ends, self.crf = lid, ends, CRF(TAGS)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that is kept; needed after the field was fitted."""
+        self.seen: dict[str, Clause] = {}
+        self.asked: dict[str, tuple[str, set[str], tuple[int, ...]]] = {}
+        self.rows: dict[str, list[float]] = {}
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "seen": {}, "asked": {}, "rows": {}}
+
+    def _keep(self, kept: dict, text: str, made: object) -> None:
+        if len(text) <= self.KEPT_CHARS:
+            if len(kept) >= self.KEPT:
+                kept.clear()
+            kept[text] = made
+
+    def _parts(self, parts: list[str]) -> list[Clause]:
+        got = {c: self.seen.get(c) for c in parts}
+        if new := [c for c, known in got.items() if known is None]:
+            # each scored alone; language.Model drops parts without letters
+            lettered = [c for c in new if language._TOKEN.search(c.lower())]
+            scores = dict(zip(lettered, self.lid.scores(lettered)[0].tolist()))
+            for c in new:
+                got[c] = made = Clause(c, scores.get(c) or [0.0] * len(language.LANGS))
+                self._keep(self.seen, c, made)
+        return [got[c] for c in parts]
+
+    def _message(self, message: str) -> tuple[str, set[str], tuple[int, ...]]:
+        """The words of a message, and its languages: those of which it holds some words together."""
+        got = self.asked.get(message)
+        if got is None:
+            low = message.lower()
+            asked = _WORD.findall(low)
+            own, n, han, _ = self.lid.scores(language.fragments(message))
+            spoken = {language.LANGS[int(own.sum(axis=0).argmax())]} if len(own) else set()
+            if len(own) > 1:
+                top = np.sort(own, axis=1)
+                spoken |= {language.LANGS[int(k)] for k, odds in zip(own.argmax(axis=1), top[:, -1] - top[:, -2]) if odds > 3}
+            spoken |= {k for k, p in _ASKED.items() if p.search(low)}
+            got = " ".join(asked), set(asked), tuple(sorted(language.LANGS.index(k) for k in spoken))
+            self._keep(self.asked, message, got)
+        return got
 
     def clauses(self, reply: str) -> tuple[list[str], bool]:
         """(clauses, whether a code fence or bold text stays open); code is one clause with its mark."""
@@ -155,52 +226,57 @@ class Tagger:
         text = _FENCE.sub(" ``` ", reply) if "```" in reply else reply
         return [c for c in (x.strip() for x in _CLAUSE.split(text)) if c and c != ">"], fence
 
-    def features(self, message: str, reply: str) -> tuple[list[list[str]], list[int]]:
-        """Features and words of each clause of the reply."""
+    def _placed(self, message: str, reply: str) -> Iterator[tuple[Clause, list[str]]]:
+        """Each clause of the reply with the features it has by its place and the message."""
         parts, fence = self.clauses(reply)
-        asked = _WORD.findall(message.lower())
-        joined, bag = " ".join(asked), set(asked)
-                # a message is in each language of which it holds some words together
-        low = message.lower()
-        own, n, han, _ = self.lid.scores(language.fragments(message))
-        spoken = {language.LANGS[int(own.sum(axis=0).argmax())]} if len(own) else set()
-        if len(own) > 1:
-            top = np.sort(own, axis=1)
-            spoken |= {language.LANGS[int(k)] for k, odds in zip(own.argmax(axis=1), top[:, -1] - top[:, -2]) if odds > 3}
-        spoken |= {k for k, p in _ASKED.items() if p.search(low)}
-        mine = [language.LANGS.index(k) for k in spoken]
-        words = [_WORD.findall(c.lower()) for c in parts]
-        # each clause scored alone; language.Model drops parts without letters
-        lettered = [i for i, c in enumerate(parts) if language._TOKEN.search(c.lower())]
-        scores = np.zeros((len(parts), len(language.LANGS)))
-        if lettered:
-            scores[lettered] = self.lid.scores(parts[i] for i in lettered)[0]
-        total = scores.sum(axis=0)
-        marks = [bool(_END.search(c)) for c in parts]
-        bullets = [bool(_BULLET.match(c)) for c in parts]
-        bare = any(b and not m for b, m in zip(bullets[:-1], marks[:-1]))
-        whole = self._foreign(total, mine)
-        out = []
-        for i, (c, w) in enumerate(zip(parts, words)):
-            x = ["bias"]
-            x += [f"w={a}" for a in w] + [f"b={a} {b}" for a, b in zip(w, w[1:])]
-            text = " ".join(w)
-            tail = " ".join(_WORD.findall(c.lower().partition(": ")[2])) if ": " in c else ""
-            if w:
-                inside = bool(text) and f" {text} " in f" {joined} " or bool(tail) and f" {tail} " in f" {joined} "
-                share = sum(a in bag for a in w) / len(w)
-                x.append("echo=" + ("whole" if inside and len(w) >= 2 or text == joined else "most" if share >= 0.85 and len(w) >= 4 else "half" if share >= 0.5 else "no"))
-            x += [f"alien={self._foreign(scores[i], mine)}", f"aliens={whole}"]
+        if not parts:
+            return
+        joined, bag, mine = self._message(message)
+        padded, within = f" {joined} ", bag.__contains__
+        clauses = self._parts(parts)
+        bare = any(c.bullet and not c.mark for c in clauses[:-1])
+        whole = f"aliens={self._foreign(np.array([c.score for c in clauses]).sum(axis=0).tolist(), mine)}"
+        for i, c in enumerate(clauses):
+            x = []
+            if w := c.words:
+                inside = f" {c.text} " in padded or bool(c.tail) and f" {c.tail} " in padded
+                share = sum(map(within, w)) / len(w)
+                x.append("echo=" + ("whole" if inside and len(w) >= 2 or c.text == joined else "most" if share >= 0.85 and len(w) >= 4 else "half" if share >= 0.5 else "no"))
+            alien = c.alien.get(mine)
+            if alien is None:
+                alien = c.alien[mine] = f"alien={self._foreign(c.score, mine)}"
+            x += [alien, whole]
             if i == len(parts) - 1:
-                x += self._ending(c, marks[i], bullets[i], bare, fence)
-            out.append(x)
-        return out, [len(w) for w in words]
+                x += self._ending(parts[i], c.mark, c.bullet, bare, fence)
+            yield c, x
+
+    def features(self, message: str, reply: str) -> tuple[list[list[str]], list[int]]:
+        """Features and words of each clause of the reply."""
+        placed = list(self._placed(message, reply))
+        return [c.own() + x for c, x in placed], [len(c.words) for c, _ in placed]
+
+    def tags(self, message: str, reply: str) -> tuple[list[str], list[int]]:
+        """The tag and the words of each clause: the field on ``features``, whose words' scores
+        are added up once for each clause."""
+        emissions, sizes = [], []
+        for c, x in self._placed(message, reply):
+            e = c.emission
+            if e is None:
+                e = c.emission = self.crf.emission(c.own()).tolist()
+            for f in x:
+                row = self.rows.get(f)
+                if row is None:
+                    row = self.rows[f] = self.crf.emission([f]).tolist()
+                e = [a + b for a, b in zip(e, row)]
+            emissions.append(e)
+            sizes.append(len(c.words))
+        return self.crf.best(emissions) if emissions else [], sizes
 
     @staticmethod
-    def _foreign(s: np.ndarray, mine: list[int]) -> str:
-        if not mine or not s.any():
+    def _foreign(s: list[float], mine: tuple[int, ...]) -> str:
+        if not mine or not any(s):
             return "none"
-        odds = float(s.max() - s[mine].max())
+        odds = max(s) - max(s[k] for k in mine)
         return "0" if odds <= 0 else "1" if odds < 3 else "2" if odds < 8 else "3"
 
     @staticmethod
@@ -229,10 +305,9 @@ class Tagger:
 
     def defect(self, message: str, reply: str) -> str | None:
         """The defect of a pair whose two sides are not blank."""
-        xs, sizes = self.features(message, reply)
-        if not xs:
+        tags, sizes = self.tags(message, reply)
+        if not tags:
             return None
-        tags = self.crf.tag(xs)
         said = Counter()
         for t, n in zip(tags, sizes):
             said[t] += max(1, n)
@@ -334,6 +409,7 @@ def fit(rows: list[tuple[str, str]], lid: language.Model, seed: int = SEED, ends
     data = [(xs, tags(len(xs))) for q, a, tags in made if (xs := tagger.features(q, a)[0])]
     if data:
         tagger.crf.fit(data)
+    tagger.forget()
     return tagger
 
 

@@ -74,3 +74,33 @@ def test_ends_are_counted_over_all_replies(spark, monkeypatch):
     assert got == {g[-1]: {x: whole[x] for x in g} for a in replies[-3:] if (g := t.end_grams(a))} and len(got) == 3
     last = got[t.end_grams(replies[-1])[-1]][t.end_grams(replies[-1])[0]]
     assert last == (sum(a.count("later.") for a in replies), sum(a.count("later") for a in replies))
+
+
+def test_clauses_and_messages_are_scored_once(tagger, monkeypatch):
+    """What comes again costs no second scoring, and changes nothing, however much is kept."""
+    rnd = random.Random(8)
+    pool = [*ANSWERS, *SPANISH, *QUESTIONS, "I can't help with that.", "Thank you for your message.", "Press the green", "* the menu", "```\nx\n```", "(", "12", "🙂"]
+    rows = [(rnd.choice([*QUESTIONS, "¿Dónde está el informe?", "?!"]), rnd.choice([" ", "\n"]).join(rnd.choices(pool, k=rnd.randint(1, 5)))) for _ in range(300)]
+    want = [(tagger.crf.tag(xs), sizes) if (xs := (f := tagger.features(*r))[0]) and (sizes := f[1]) else ([], []) for r in rows]
+    for kept, chars in ((40_000, 400), (3, 400), (40_000, -1)):
+        monkeypatch.setattr(tagger, "KEPT", kept, raising=False)
+        monkeypatch.setattr(tagger, "KEPT_CHARS", chars, raising=False)
+        tagger.forget()
+        assert [tagger.tags(*r) for r in rows] == want
+    monkeypatch.undo()
+    scored = []
+    scores = tagger.lid.scores
+    monkeypatch.setattr(tagger.lid, "scores", lambda parts: scores([scored.append(p) or p for p in parts]))
+    tagger.forget()
+    for r in rows[:50] * 2:
+        tagger.defect(*r)
+    clauses = {c for _, a in rows[:50] for c in tagger.clauses(a)[0] if language._TOKEN.search(c.lower())}
+    asked = [p for q in {q for q, _ in rows[:50]} for p in language.fragments(q)]
+    assert sorted(scored) == sorted([*clauses, *asked])
+
+
+def test_repeated_clauses_count_as_often_as_they_stand():
+    once = pairs.Ends(["Press the green button. It stays", "It stays"], {"press", "it"})
+    more = pairs.Ends(["Press the green button. It stays", "It stays"] * 7 + ["It stays"], {"press", "it"})
+    own = set(more.grams("It stays"))
+    assert more.counts == {g: (7 * f, 7 * k + (g in own)) if g in own else (7 * f, 7 * k + (g == more.grams("It")[0])) for g, (f, k) in once.counts.items()}
