@@ -115,3 +115,26 @@ class CRF:
             k = b[k]
             out.append(k)
         return [self.tags[i] for i in reversed(out)]
+
+    def best_of(self, emissions: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """``best`` of many sequences at once, as numbers of tags; they stand one after another in
+        ``emissions`` and have ``sizes`` positions, at least one each."""
+        order = np.argsort(-sizes, kind="stable")  # at each position the first ones go on
+        first = (np.cumsum(sizes) - sizes)[order]
+        live = np.searchsorted(-sizes[order], -np.arange(sizes.max()), side="left")  # longer than the position
+        best = self.first + emissions[first]
+        back = np.zeros(emissions.shape, np.int8)
+        for p in range(1, len(live)):
+            q = live[p]
+            at = first[:q] + p
+            t = best[:q, :, None] + self.moves
+            back[at] = t.argmax(axis=1)
+            best[:q] = t.max(axis=1) + emissions[at]
+        out, k = np.zeros(len(emissions), np.int64), best.argmax(axis=1)
+        for p in range(len(live) - 1, -1, -1):
+            q = live[p]
+            at = first[:q] + p
+            out[at] = k[:q]
+            if p:
+                k[:q] = back[at, k[:q]]
+        return out

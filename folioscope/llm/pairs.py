@@ -28,6 +28,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,14 @@ SAMPLE, FITTED, SAMPLE_CHARS, SEED = 6000, 1500, 4000, 7
 ORDERS = (1, 2, 3, 5)
 #: Bits, as a power of two, of the filter of grams that stand at an open end.
 BITS = 24
+#: Characters of the rows tagged at once.
+STEP = 1 << 21
 TAGS = ("answer", "courtesy", "refusal", "echo", "foreign", "unfinished")
 
 _BLANK = regex.compile(BLANK)
-_CLAUSE = re.compile(r"(?<=[.!?。！？])[)\"'»”’」]*\s+|(?<=[。！？])(?=[^\s」』”）)])|[\r\n]+")
+#: Line ends, or a mark, which stays with its clause, and what parts it from the next one.  It
+#: begins with one set of characters, for which Python searches fast.
+_CLAUSE = re.compile(r"[.!?。！？\r\n](?:(?<=[\r\n])[\r\n]*|(?<=[.!?。！？])[)\"'»”’」]*\s+|(?<=[。！？])(?=[^\s」』”）)]))")
 _WORD = re.compile(r"[一-鿿㐀-䶿]|[^\W\d_一-鿿㐀-䶿]+(?:['’][^\W\d_]+)*|\d+")
 _BULLET = re.compile(r"^\s*(?:\d+[.)]|[-*•→>])\s+")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
@@ -61,6 +66,25 @@ _OPEN = re.compile(r"\[[^\]]*$|\]\([^)]*$|[(（「『][^)）」』]*$|https?://[
 _ASKED = {k: re.compile(v) for k, v in pools.LANGUAGE_NAMES.items()}
 
 
+def _split(text: str) -> list[str]:
+    """The clauses of a text, as they stand."""
+    out, at = [], 0
+    for m in _CLAUSE.finditer(text):
+        i, to = m.span()
+        out.append(text[at : i if text[i] in "\r\n" else i + 1])
+        at = to
+    out.append(text[at:])
+    return out
+
+
+def _ended(c: str) -> bool:
+    """``_END``; the last character tells it of most clauses."""
+    last = c.rstrip()[-1:]
+    if not last or last.isalpha():
+        return False
+    return last in ".!?。！？…" or bool(_END.search(c))
+
+
 class Codes(dict):
     """Numbers of words: in lower case; numbers and rare capitalised words (names) by their kind."""
 
@@ -107,11 +131,11 @@ class Ends:
         """(grams, places, ends) over all clauses; ``wanted`` is a filter by bit."""
         codes, code, sizes, marks, times = [], self.codes, [], [], []
         # each distinct clause once, for all its uses
-        for c, uses in Counter(c for t in texts for c in _CLAUSE.split(t)).items():
+        for c, uses in Counter(c for t in texts for c in _split(t)).items():
             if w := _WORD.findall(c):
                 codes += [code[x] for x in w]
                 sizes.append(len(w))
-                marks.append(bool(_END.search(c)))
+                marks.append(_ended(c))
                 times.append(uses)
         flat, size = np.array(codes, np.uint64), np.array(sizes, np.int64)
         clause, last = np.repeat(np.arange(len(size)), size), np.cumsum(size) - 1
@@ -136,10 +160,10 @@ class Ends:
         weight = np.concatenate(uses)  # whole numbers far below 2^53, so their sums are exact
         return h, np.bincount(at, weight, len(h)).astype(np.int64), np.bincount(at, weight * np.concatenate(ends), len(h)).astype(np.int64)
 
-    def features(self, grams: list[int]) -> list[str]:
-        out = []
+    def features(self, grams: list[int], counts: dict[int, tuple[int, int]] | None = None) -> list[str]:
+        out, counts = [], self.counts if counts is None else counts
         for n, g in zip(ORDERS, [*grams, *[None] * len(ORDERS)]):
-            f, k = self.counts.get(g, (0, 0))
+            f, k = counts.get(g, (0, 0))
             r = f / k if k else -1
             out.append(f"end{n}=" + ("?" if r < 0 else "0" if r == 0 else "a" if r < 0.15 else "b" if r < 0.5 else "c" if r < 0.85 else "d"))
         return [*out, "ends=" + "".join(x[-1] for x in out)]
@@ -153,21 +177,81 @@ def least(rows: int) -> float:
 class Clause:
     """What a clause is by itself, whatever stands beside it."""
 
-    __slots__ = ("alien", "bullet", "emission", "mark", "score", "tail", "text", "words")
+    __slots__ = ("bullet", "emission", "mark", "padded", "score", "tail", "words")
 
-    def __init__(self, c: str, score: list[float]):
+    def __init__(self, c: str):
         low = c.lower()
         self.words = _WORD.findall(low)
-        self.text = " ".join(self.words)
-        self.tail = " ".join(_WORD.findall(low.partition(": ")[2])) if ": " in c else ""
-        self.mark, self.bullet = bool(_END.search(c)), bool(_BULLET.match(c))
-        self.score = score
-        self.alien: dict[tuple[int, ...], str] = {}
+        self.padded = f" {' '.join(self.words)} "
+        tail = " ".join(_WORD.findall(low.partition(": ")[2])) if ": " in c else ""
+        self.tail = f" {tail} " if tail else ""
+        self.mark, self.bullet = _ended(c), bool(_BULLET.match(c))
+        self.score: list[float] = []
         self.emission: list[float] | None = None
 
     def own(self) -> list[str]:
         return ["bias", *(f"w={a}" for a in self.words), *(f"b={a} {b}" for a, b in zip(self.words, self.words[1:]))]
 
+    def echo(self, padded: str, bag: set[str]) -> int:
+        """How much of it stands in a message, as a place in ``ECHO``."""
+        n = len(self.words)
+        if not n:
+            return 4
+        same = sum(map(bag.__contains__, self.words))
+        if same == n and (n >= 2 and self.padded in padded or self.padded == padded) or n >= 2 and self.tail and self.tail in padded:
+            return 0
+        return 1 if n >= 4 and same / n >= 0.85 else 2 if same / n >= 0.5 else 3
+
+
+ECHO, ALIEN = ("echo=whole", "echo=most", "echo=half", "echo=no", ""), ("none", "0", "1", "2", "3")
+
+
+class Message(NamedTuple):
+    #: Its words between blanks, the set of them, and whether it is in each language.
+    padded: str
+    bag: set[str]
+    spoken: list[bool]
+
+
+class Placed(NamedTuple):
+    """The clauses of many pairs by their places, one pair after another."""
+
+    clauses: list[Clause]  # each distinct one once
+    which: np.ndarray  # of each place, its clause
+    sizes: np.ndarray  # of each pair, its places
+    echo: np.ndarray  # of each place, in ECHO
+    alien: np.ndarray  # of each place, in ALIEN
+    whole: np.ndarray  # of each pair, in ALIEN
+    endings: list[list[str]]  # of each pair
+
+
+class Words:
+    """The field's weights of words and word pairs, found by numbers."""
+
+    def __init__(self, crf: CRF):
+        rows = {f[2:]: i for f, i in crf.feature.items() if f.startswith("w=")}
+        both = {tuple(f[2:].split(" ")): i for f, i in crf.feature.items() if f.startswith("b=")}
+        self.number = {w: i for i, w in enumerate(sorted({*rows, *(w for b in both for w in b)}))}
+        self.bias, self.weights = crf.feature.get("bias", -1), crf.weights
+        self.rows = np.array([*(rows.get(w, -1) for w in self.number), -1])  # the last one: no known word
+        codes = np.array([self.number[a] * len(self.rows) + self.number[b] for a, b in both] or [-1])
+        order = np.argsort(codes)
+        self.codes, self.pairs = codes[order], np.array([*both.values()] or [-1])[order]
+
+    def emissions(self, clauses: list[Clause]) -> np.ndarray:
+        """``CRF.emission`` of what each clause is by itself; scores are added in the same order."""
+        n, get = len(clauses), self.number.get
+        ids = np.array([get(w, -1) for c in clauses for w in c.words], np.int64)
+        owner = np.repeat(np.arange(n), [len(c.words) for c in clauses])
+        a, b = ids[:-1], ids[1:]
+        both = (owner[:-1] == owner[1:]) & (a >= 0) & (b >= 0)
+        code, at = a[both] * len(self.rows) + b[both], owner[:-1][both]
+        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        rows = np.concatenate([np.full(n, self.bias), self.rows[ids], np.where(self.codes[k] == code, self.pairs[k], -1)])
+        owners = np.concatenate([np.arange(n), owner, at])[rows >= 0]
+        found = self.weights[rows[rows >= 0]]
+        return np.stack([np.bincount(owners, w, n) for w in found.T], axis=1)
+
 
 class Tagger:
     #: Clauses, and messages, kept for later and forgotten when there are too many; longer ones
@@ -181,11 +265,12 @@ class Tagger:
     def forget(self) -> None:
         """Drop all that is kept; needed after the field was fitted."""
         self.seen: dict[str, Clause] = {}
-        self.asked: dict[str, tuple[str, set[str], tuple[int, ...]]] = {}
-        self.rows: dict[str, list[float]] = {}
+        self.asked: dict[str, Message] = {}
+        self.rows: dict[str, np.ndarray] = {}
+        self.words: Words | None = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "seen": {}, "asked": {}, "rows": {}}
+        return {**self.__dict__, "seen": {}, "asked": {}, "rows": {}, "words": None}
 
     def _keep(self, kept: dict, text: str, made: object) -> None:
         if len(text) <= self.KEPT_CHARS:
@@ -193,91 +278,135 @@ class Tagger:
                 kept.clear()
             kept[text] = made
 
-    def _parts(self, parts: list[str]) -> list[Clause]:
-        got = {c: self.seen.get(c) for c in parts}
-        if new := [c for c, known in got.items() if known is None]:
+    def _clauses(self, texts: list[str]) -> list[Clause]:
+        got = [self.seen.get(c) for c in texts]
+        if new := [i for i, c in enumerate(got) if c is None]:
+            made = [Clause(texts[i]) for i in new]
             # each scored alone; language.Model drops parts without letters
-            lettered = [c for c in new if language._TOKEN.search(c.lower())]
-            scores = dict(zip(lettered, self.lid.scores(lettered)[0].tolist()))
-            for c in new:
-                got[c] = made = Clause(c, scores.get(c) or [0.0] * len(language.LANGS))
-                self._keep(self.seen, c, made)
-        return [got[c] for c in parts]
-
-    def _message(self, message: str) -> tuple[str, set[str], tuple[int, ...]]:
-        """The words of a message, and its languages: those of which it holds some words together."""
-        got = self.asked.get(message)
-        if got is None:
-            low = message.lower()
-            asked = _WORD.findall(low)
-            own, n, han, _ = self.lid.scores(language.fragments(message))
-            spoken = {language.LANGS[int(own.sum(axis=0).argmax())]} if len(own) else set()
-            if len(own) > 1:
-                top = np.sort(own, axis=1)
-                spoken |= {language.LANGS[int(k)] for k, odds in zip(own.argmax(axis=1), top[:, -1] - top[:, -2]) if odds > 3}
-            spoken |= {k for k, p in _ASKED.items() if p.search(low)}
-            got = " ".join(asked), set(asked), tuple(sorted(language.LANGS.index(k) for k in spoken))
-            self._keep(self.asked, message, got)
+            lettered = [k for k, c in enumerate(made) if any(not w[0].isdecimal() for w in c.words)]
+            scores = np.zeros((len(made), len(language.LANGS)))
+            if lettered:
+                scores[lettered] = self.lid.scores([texts[new[k]] for k in lettered])[0]
+            for i, c, score in zip(new, made, scores.tolist()):
+                c.score, got[i] = score, c
+                self._keep(self.seen, texts[i], c)
+        return got
+
+    def _messages(self, texts: list[str]) -> list[Message]:
+        """The words of messages, and their languages: those of which each holds some words together."""
+        got = [self.asked.get(q) for q in texts]
+        if new := [i for i, m in enumerate(got) if m is None]:
+            spoken, parts, owner = np.zeros((len(new), len(language.LANGS)), bool), [], []
+            for k, i in enumerate(new):
+                for f in language.fragments(texts[i]):
+                    parts.append(f)
+                    if language._TOKEN.search(f.lower()):
+                        owner.append(k)
+            own = self.lid.scores(parts)[0]
+            if len(own):
+                total, top, at = np.zeros(spoken.shape, own.dtype), np.sort(own, axis=1), np.array(owner)
+                np.add.at(total, at, own)
+                held = np.unique(at)
+                spoken[held, total[held].argmax(axis=1)] = True
+                sure = top[:, -1] - top[:, -2] > 3
+                spoken[at[sure], own.argmax(axis=1)[sure]] = True
+            for i, said in zip(new, spoken.tolist()):
+                low = texts[i].lower()
+                asked = _WORD.findall(low)
+                for k, p in _ASKED.items():
+                    if p.search(low):
+                        said[language.LANGS.index(k)] = True
+                got[i] = made = Message(f" {' '.join(asked)} ", set(asked), said)
+                self._keep(self.asked, texts[i], made)
         return got
 
     def clauses(self, reply: str) -> tuple[list[str], bool]:
         """(clauses, whether a code fence or bold text stays open); code is one clause with its mark."""
         fence = reply.count("```") % 2 == 1 or reply.count("**") % 2 == 1
         text = _FENCE.sub(" ``` ", reply) if "```" in reply else reply
-        return [c for c in (x.strip() for x in _CLAUSE.split(text)) if c and c != ">"], fence
-
-    def _placed(self, message: str, reply: str) -> Iterator[tuple[Clause, list[str]]]:
-        """Each clause of the reply with the features it has by its place and the message."""
-        parts, fence = self.clauses(reply)
-        if not parts:
-            return
-        joined, bag, mine = self._message(message)
-        padded, within = f" {joined} ", bag.__contains__
-        clauses = self._parts(parts)
-        bare = any(c.bullet and not c.mark for c in clauses[:-1])
-        whole = f"aliens={self._foreign(np.array([c.score for c in clauses]).sum(axis=0).tolist(), mine)}"
-        for i, c in enumerate(clauses):
-            x = []
-            if w := c.words:
-                inside = f" {c.text} " in padded or bool(c.tail) and f" {c.tail} " in padded
-                share = sum(map(within, w)) / len(w)
-                x.append("echo=" + ("whole" if inside and len(w) >= 2 or c.text == joined else "most" if share >= 0.85 and len(w) >= 4 else "half" if share >= 0.5 else "no"))
-            alien = c.alien.get(mine)
-            if alien is None:
-                alien = c.alien[mine] = f"alien={self._foreign(c.score, mine)}"
-            x += [alien, whole]
-            if i == len(parts) - 1:
-                x += self._ending(parts[i], c.mark, c.bullet, bare, fence)
-            yield c, x
+        return [c for c in (x.strip() for x in _split(text)) if c and c != ">"], fence
+
+    def _placed(self, rows: list[tuple[str, list[str], bool]], counts: list[dict] | None = None) -> Placed:
+        """The clauses of (message, clauses, fence) by their places; every row has clauses."""
+        number: dict[str, int] = {}
+        which = [number.setdefault(c, len(number)) for _, parts, _ in rows for c in parts]
+        clauses = self._clauses(list(number))
+        asked: dict[str, int] = {}
+        mine = [asked.setdefault(q, len(asked)) for q, _, _ in rows]
+        messages = self._messages(list(asked))
+        echo, endings, at = [], [], 0
+        for i, (k, (_, parts, fence)) in enumerate(zip(mine, rows)):
+            own = [clauses[j] for j in which[at : at + len(parts)]]
+            at += len(parts)
+            padded, bag, _ = messages[k]
+            echo += [c.echo(padded, bag) for c in own]
+            last = own[-1]
+            bare = last.bullet and any(c.bullet and not c.mark for c in own[:-1])
+            endings.append(self._ending(parts[-1], last.mark, last.bullet, bare, fence, counts[i] if counts else None))
+        places, sizes = np.array(which), np.array([len(parts) for _, parts, _ in rows])
+        scores, spoken = np.array([c.score for c in clauses])[places], np.array([m.spoken for m in messages])[mine]
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        sums = np.stack([np.bincount(owner, s, len(rows)) for s in scores.T], axis=1)
+        return Placed(clauses, places, sizes, np.array(echo), self._foreign(scores, spoken[owner]), self._foreign(sums, spoken), endings)
+
+    def feature_lists(self, pairs: list[tuple[str, str]]) -> list[list[list[str]]]:
+        """The features of each clause of each (message, reply)."""
+        parsed = [(q, *self.clauses(a)) for q, a in pairs]
+        out: list[list[list[str]]] = [[] for _ in parsed]
+        if at := [i for i, (_, parts, _) in enumerate(parsed) if parts]:
+            p = self._placed([parsed[i] for i in at])
+            k = 0
+            for i, n, whole, ending in zip(at, p.sizes.tolist(), p.whole.tolist(), p.endings):
+                for j in range(k, k + n):
+                    x = p.clauses[p.which[j]].own()
+                    if ECHO[p.echo[j]]:
+                        x.append(ECHO[p.echo[j]])
+                    out[i].append([*x, f"alien={ALIEN[p.alien[j]]}", f"aliens={ALIEN[whole]}"])
+                out[i][-1] += ending
+                k += n
+        return out
 
     def features(self, message: str, reply: str) -> tuple[list[list[str]], list[int]]:
         """Features and words of each clause of the reply."""
-        placed = list(self._placed(message, reply))
-        return [c.own() + x for c, x in placed], [len(c.words) for c, _ in placed]
+        return self.feature_lists([(message, reply)])[0], [len(c.words) for c in self._clauses(self.clauses(reply)[0])]
+
+    def _row(self, feature: str) -> np.ndarray:
+        row = self.rows.get(feature)
+        if row is None:
+            row = self.rows[feature] = self.crf.emission([feature])
+        return row
+
+    def _tagged(self, p: Placed) -> tuple[np.ndarray, np.ndarray]:
+        """The tag, as a number, and the words of each place: the field on the features, whose
+        words' scores are added up once for each clause."""
+        if new := [c for c in p.clauses if c.emission is None]:
+            self.words = self.words or Words(self.crf)
+            for c, e in zip(new, self.words.emissions(new).tolist()):
+                c.emission = e
+        e = np.array([c.emission for c in p.clauses])[p.which]
+        e += np.array([self._row(x) for x in ECHO])[p.echo]
+        e += np.array([self._row(f"alien={x}") for x in ALIEN])[p.alien]
+        e += np.repeat(np.array([self._row(f"aliens={x}") for x in ALIEN])[p.whole], p.sizes, axis=0)
+        last = np.cumsum(p.sizes) - 1
+        e[last] += np.array([self._row(x[0]) for x in p.endings])
+        for i, x in zip(last.tolist(), p.endings):
+            for f in x[1:]:
+                e[i] += self._row(f)
+        return self.crf.best_of(e, p.sizes), np.array([len(c.words) for c in p.clauses])[p.which]
 
     def tags(self, message: str, reply: str) -> tuple[list[str], list[int]]:
-        """The tag and the words of each clause: the field on ``features``, whose words' scores
-        are added up once for each clause."""
-        emissions, sizes = [], []
-        for c, x in self._placed(message, reply):
-            e = c.emission
-            if e is None:
-                e = c.emission = self.crf.emission(c.own()).tolist()
-            for f in x:
-                row = self.rows.get(f)
-                if row is None:
-                    row = self.rows[f] = self.crf.emission([f]).tolist()
-                e = [a + b for a, b in zip(e, row)]
-            emissions.append(e)
-            sizes.append(len(c.words))
-        return self.crf.best(emissions) if emissions else [], sizes
+        """The tag and the words of each clause."""
+        parts, fence = self.clauses(reply)
+        if not parts:
+            return [], []
+        tags, sizes = self._tagged(self._placed([(message, parts, fence)]))
+        return [TAGS[k] for k in tags], sizes.tolist()
 
     @staticmethod
-    def _foreign(s: list[float], mine: tuple[int, ...]) -> str:
-        if not mine or not any(s):
-            return "none"
-        odds = max(s) - max(s[k] for k in mine)
-        return "0" if odds <= 0 else "1" if odds < 3 else "2" if odds < 8 else "3"
+    def _foreign(scores: np.ndarray, spoken: np.ndarray) -> np.ndarray:
+        """How far texts are from the languages ``spoken``, as places in ``ALIEN``."""
+        odds = scores.max(axis=1) - np.where(spoken, scores, -np.inf).max(axis=1)
+        return np.where(spoken.any(axis=1) & scores.any(axis=1), 1 + (odds > 0) + (odds >= 3) + (odds >= 8), 0)
 
     @staticmethod
     def _closed(c: str, mark: bool, fence: bool) -> str | None:
@@ -290,37 +419,55 @@ class Tagger:
             return "last=mark"
         return "last=comma" if c[-1] in ",;:，；：、-–—(（/" else None
 
-    def end_grams(self, reply: str) -> list[int]:
-        """The grams at the end of a reply of which only the words tell whether it ends there."""
-        parts, fence = self.clauses(reply)
-        if not parts or self._closed(parts[-1], bool(_END.search(parts[-1])), fence):
+    def open_grams(self, parts: list[str], fence: bool) -> list[int]:
+        """``end_grams`` of a reply in clauses."""
+        if not parts or self._closed(parts[-1], _ended(parts[-1]), fence):
             return []
         return self.ends.grams(parts[-1])
 
-    def _ending(self, c: str, mark: bool, bullet: bool, bare: bool, fence: bool) -> list[str]:
+    def end_grams(self, reply: str) -> list[int]:
+        """The grams at the end of a reply of which only the words tell whether it ends there."""
+        return self.open_grams(*self.clauses(reply))
+
+    def _ending(self, c: str, mark: bool, bullet: bool, bare: bool, fence: bool, counts: dict | None = None) -> list[str]:
         if closed := self._closed(c, mark, fence):
             return [closed]
         style = "last=bare" if bullet and bare else "last=bullet" if bullet else "last=no"
-        return [style, *(f"{style},{f}" for f in self.ends.features(self.ends.grams(c)))]
+        return [style, *(f"{style},{f}" for f in self.ends.features(self.ends.grams(c), counts))]
+
+    def defects(self, rows: list[tuple[str, list[str], bool]], counts: list[dict] | None = None) -> list[str | None]:
+        """The defects of (message, the reply's clauses, fence), no side blank; ``counts`` has the
+        counts of each row's own end grams."""
+        out: list[str | None] = [None] * len(rows)
+        at = [i for i, (_, parts, _) in enumerate(rows) if parts]
+        if not at:
+            return out
+        p = self._placed([rows[i] for i in at], [counts[i] for i in at] if counts else None)
+        tags, sizes = self._tagged(p)
+        k, last = len(TAGS), np.cumsum(p.sizes) - 1
+        said = np.bincount(np.repeat(np.arange(len(at)), p.sizes) * k + tags, np.maximum(1, sizes), len(at) * k).astype(np.int64).reshape(-1, k)
+        # pairs of answers and courtesies alone have no defect
+        for j in np.flatnonzero(said[:, [TAGS.index(x) for x in ("refusal", "echo", "foreign", "unfinished")]].any(axis=1)).tolist():
+            out[at[j]] = self._verdict(rows[at[j]][0], dict(zip(TAGS, said[j].tolist())), TAGS[tags[last[j]]], int(sizes[last[j]]))
+        return out
 
-    def defect(self, message: str, reply: str) -> str | None:
-        """The defect of a pair whose two sides are not blank."""
-        tags, sizes = self.tags(message, reply)
-        if not tags:
-            return None
-        said = Counter()
-        for t, n in zip(tags, sizes):
-            said[t] += max(1, n)
+    @staticmethod
+    def _verdict(message: str, said: dict[str, int], last: str, size: int) -> str | None:
+        """The defect by the words of each tag and the last clause's tag and words."""
         told = sum(n for t, n in said.items() if t != "courtesy")
         if not told:
             return None
         if said["echo"] == told and said["echo"] >= 0.5 * len(_WORD.findall(message)):
             return "copies_question"
-        if said["refusal"] and said["refusal"] + said["foreign"] + (said["unfinished"] if sizes[-1] <= 2 else 0) >= told:
+        if said["refusal"] and said["refusal"] + said["foreign"] + (said["unfinished"] if size <= 2 else 0) >= told:
             return "refusal"
         if said["foreign"] > 0.6 * (told - said["unfinished"]) and said["foreign"]:
             return "other_language"
-        return "truncated" if tags[-1] == "unfinished" else None
+        return "truncated" if last == "unfinished" else None
+
+    def defect(self, message: str, reply: str) -> str | None:
+        """The defect of a pair whose two sides are not blank."""
+        return self.defects([(message, *self.clauses(reply))])[0]
 
 
 _CHOICE = re.compile(r"\[([^\[\]]*)\]")
@@ -406,7 +553,7 @@ def fit(rows: list[tuple[str, str]], lid: language.Model, seed: int = SEED, ends
             add(q, lead + e + {"「": "」", '"': '"'}.get(lead, ""), lambda n: ["echo"] * n)
     if count:
         tagger.ends.counts = count(tagger, {g for _, a, _ in made for g in tagger.end_grams(a)})
-    data = [(xs, tags(len(xs))) for q, a, tags in made if (xs := tagger.features(q, a)[0])]
+    data = [(xs, tags(len(xs))) for xs, (_, _, tags) in zip(tagger.feature_lists([(q, a) for q, a, _ in made]), made) if xs]
     if data:
         tagger.crf.fit(data)
     tagger.forget()
@@ -439,7 +586,11 @@ def common_words(replies: DataFrame) -> set[str]:
     share of the words that does not fall with the number of replies."""
 
     def words(texts: list[str]) -> tuple:
-        seen = Counter(w.lower() for t in texts for w in _WORD.findall(t))
+        seen, found = Counter(), Counter()
+        for t in texts:
+            found.update(_WORD.findall(t))
+        for w, n in found.items():
+            seen[w.lower()] += n
         return pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())
 
     n = replies.agg(F.count("bot_response")).first()[0]
@@ -474,6 +625,17 @@ _MARKED = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()),
 _OPENED = T.StructType([*_MARKED.fields, *(T.StructField(n, t) for n, t in (("key", T.LongType()), ("user_message", T.StringType()), ("bot_response", T.StringType())))])
 
 
+def _steps(*columns: list[str | None]) -> Iterator[range]:
+    """Ranges of the rows of a batch of which each has ``STEP`` characters, or one row more."""
+    lo = size = 0
+    for i, texts in enumerate(zip(*columns)):
+        size += sum(len(x) for x in texts if x)
+        if size >= STEP:
+            yield range(lo, i + 1)
+            lo, size = i + 1, 0
+    yield range(lo, len(columns[0]))
+
+
 def marked(history: DataFrame, tagger: Tagger, ends: DataFrame | None = None) -> DataFrame:
     """Every row without its texts: whether each side says anything, and the pair's defect.  With
     ``ends``, the open ends are joined to their counts, else the tagger has them."""
@@ -483,21 +645,35 @@ def marked(history: DataFrame, tagger: Tagger, ends: DataFrame | None = None) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in batches:
-            out: list[tuple] = []
-            for q, a in zip(b.column(3).to_pylist(), b.column(4).to_pylist()):
-                asks, answers = _said(q), _said(a)
-                grams = t.end_grams(a) if joined and asks and answers else []
-                out.append((asks, answers, None if not asks or grams else "empty_answer" if not answers else t.defect(q, a), *((grams[-1], q, a) if grams else (None, None, None))))
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), *(pa.array([r[k] for r in out], x) for k, x in enumerate((pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string())))], names=_OPENED.names)
+            asked, told = b.column(3).to_pylist(), b.column(4).to_pylist()
+            asks, answers = [_said(q) for q in asked], [_said(a) for a in told]
+            made: list[str | None] = ["empty_answer" if q and not a else None for q, a in zip(asks, answers)]
+            keys: list[int | None] = [None] * len(made)
+            for step in _steps(asked, told):
+                at, rows = [], []
+                for i in step:
+                    if asks[i] and answers[i]:
+                        parts, fence = t.clauses(told[i])
+                        if grams := t.open_grams(parts, fence) if joined else []:
+                            keys[i] = grams[-1]
+                        else:
+                            at.append(i)
+                            rows.append((asked[i], parts, fence))
+                for i, defect in zip(at, t.defects(rows)):
+                    made[i] = defect
+            opened = [[x if k is not None else None for x, k in zip(texts, keys)] for texts in (asked, told)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in (0, 1, 2)), *(pa.array(x, kind) for x, kind in zip((asks, answers, made, keys, *opened), (pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.string(), pa.string())))], names=_OPENED.names)
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = shared.value
         for b in batches:
             made = b.column("defect").to_pylist()
-            for i, (q, a, grams) in enumerate(zip(*(b.column(n).to_pylist() for n in ("user_message", "bot_response", "grams")))):
-                if a is not None:
-                    t.ends.counts = {x["g"]: (x["f"], x["k"]) for x in grams or ()}
-                    made[i] = t.defect(q, a)
+            asked, told, grams = (b.column(n).to_pylist() for n in ("user_message", "bot_response", "grams"))
+            for step in _steps(asked, told):
+                at = [i for i in step if told[i] is not None]
+                counts = [{x["g"]: (x["f"], x["k"]) for x in grams[i] or ()} for i in at]
+                for i, defect in zip(at, t.defects([(asked[i], *t.clauses(told[i])) for i in at], counts)):
+                    made[i] = defect
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names[:-1]), pa.array(made, pa.string())], names=names)
 
     rows = history.select("id", F.coalesce("session_id", F.concat(F.lit("#"), "id")).alias("session_id"), F.col("created_at").cast("timestamp_ntz"), "user_message", "bot_response").mapInArrow(run, _OPENED)

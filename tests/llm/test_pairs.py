@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import re
 
+import numpy as np
 import pytest
 
 from folioscope.llm import crf, language, pairs
@@ -104,3 +106,50 @@ def test_repeated_clauses_count_as_often_as_they_stand():
     more = pairs.Ends(["Press the green button. It stays", "It stays"] * 7 + ["It stays"], {"press", "it"})
     own = set(more.grams("It stays"))
     assert more.counts == {g: (7 * f, 7 * k + (g in own)) if g in own else (7 * f, 7 * k + (g == more.grams("It")[0])) for g, (f, k) in once.counts.items()}
+
+
+def test_pairs_are_tagged_together(tagger, monkeypatch):
+    """Pairs of which no clause comes again cost no scoring of their own, and have the defects they
+    have one by one, by the field on their features."""
+    rnd = random.Random(9)
+    ends = [".", "", " and", "\n```\nx", " (see", ",", "。", "\n* a\n* b"]
+    rows = [(rnd.choice([*QUESTIONS, "?!", "¿Dónde está el informe?"]), " ".join(f"{s[:-1]} {i}x{j}." for j, s in enumerate(rnd.sample([*ANSWERS, *SPANISH], rnd.randint(0, 4)))) + rnd.choice([*QUESTIONS, *ANSWERS, "I can't help with that."])[: rnd.randint(5, 60)] + rnd.choice(ends)) for i in range(300)]
+    rows += [(q, q) for q in QUESTIONS] + [(QUESTIONS[0], ">"), ("x", "I can't help with that."), ("x", " ".join(SPANISH))]
+    tagger.forget()
+    want = [tagger.defect(*r) for r in rows]
+    assert len(set(want)) == 5
+    for r in rows:
+        xs, sizes = tagger.features(*r)
+        assert tagger.tags(*r) == (tagger.crf.tag(xs) if xs else [], sizes)
+    calls, scores = [], tagger.lid.scores
+    monkeypatch.setattr(tagger.lid, "scores", lambda parts: calls.append(1) or scores(parts))
+    tagger.forget()
+    assert tagger.defects([(q, *tagger.clauses(a)) for q, a in rows]) == want
+    assert len(calls) == 2  # the clauses, and the messages
+
+
+def test_paths_of_many_chains():
+    rnd = np.random.default_rng(4)
+    m = crf.CRF("abcd")
+    m.moves, m.first = rnd.normal(size=(4, 4)), rnd.normal(size=4)
+    sizes = rnd.integers(1, 9, 200)
+    e = rnd.integers(-2, 3, (sizes.sum(), 4)).astype(float)
+    parts = np.split(e, np.cumsum(sizes)[:-1])
+    assert ["abcd"[k] for k in m.best_of(e, sizes)] == [t for x in parts for t in m.best(x.tolist())]
+
+
+def test_clauses_end_where_they_did():
+    old = re.compile(r"(?<=[.!?。！？])[)\"'»”’」]*\s+|(?<=[。！？])(?=[^\s」』”）)])|[\r\n]+")
+    rnd = random.Random(5)
+    for _ in range(20_000):
+        s = "".join(rnd.choices(".!?。！？…)\"'»”’」』）]_\r\n \t\x85ab1中❶🙂☀", k=rnd.randint(0, 12)))
+        assert pairs._split(s) == old.split(s)
+        assert all(pairs._ended(c) == bool(pairs._END.search(c)) for c in (s, *pairs._split(s)))
+
+
+def test_steps_take_every_row_once(monkeypatch):
+    monkeypatch.setattr(pairs, "STEP", 10)
+    for texts in ([], [None], ["x" * 30], ["x", None, "yyyy", "z" * 9, "", "w" * 20, "v"]):
+        steps = [*pairs._steps(texts, texts)]
+        assert [i for s in steps for i in s] == [*range(len(texts))]
+    assert len(steps) == 4
